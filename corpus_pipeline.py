@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, line_dedup, mixing, simhash
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-STAGES = []
+from graphloom.llm import bpe, common, line_dedup, mixing, quality, simhash
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, *model).where("predicted = 1").select(*docs.columns)
+
+
+def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten or more of them share; n_chars follows the text."""
+    kept = line_dedup.drop_shared_lines(docs, min_docs=10).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each class of near copies, once; documents without an id stay."""
+    found = simhash.near_duplicates(docs)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"))
+    one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("text"))).where("__n = 1").select(*docs.columns)
+    return one.unionByName(docs.where("doc_id IS NULL"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to three times."""
+    return mixing.apply_mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(docs, *bpe.production()).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", good_quality), ("line dedup", without_shared_lines), ("near copies", without_near_copies), ("mix", mixed), ("tokens", encoded)]
+
+#: SQL can express neither the network nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
