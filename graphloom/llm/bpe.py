@@ -6,6 +6,7 @@ import base64
 import functools
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,31 +102,45 @@ class Digest:
         return self.n, self.ids.hexdigest(), self.bytes.hexdigest()
 
 
-def encode(docs: DataFrame, path: str, pattern: str, size: int = 32_768, overlap: int = 1024, digests: bool = False) -> DataFrame:
-    """Token ids of every row of ``docs(doc_id, text)``: ``(doc_id, ids array<int>, decoded binary)``, without special tokens.
+class Ids:
+    """A text's token ids, as packed integers."""
 
-    With ``digests``: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` instead, built piece by piece.
+    def __init__(self, with_bytes: bool = False):
+        self.n, self.ids, self.bytes = 0, [], [] if with_bytes else None
+
+    def add(self, ids: list[int], own, _) -> None:
+        self.ids.append(np.array(ids, np.int32))
+        self.n += len(ids)
+        if self.bytes is not None:
+            self.bytes.append(own.decode_bytes(ids))
+
+    def row(self) -> tuple:
+        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
+        return (ids,) if self.bytes is None else (ids, b"".join(self.bytes))
+
+
+#: Tokens that a task holds as output before it hands them on.
+HELD = 400_000
+OUTPUTS = {
+    "ids": ("doc_id long, ids array<int>", Ids),
+    "bytes": ("doc_id long, ids array<int>, decoded binary", lambda: Ids(True)),
+    "digests": ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", Digest),
+}
+ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
+
+
+def encode(docs: DataFrame, path: str, pattern: str, size: int = 32_768, overlap: int = 1024, output: str = "ids") -> DataFrame:
+    """Token ids of every row of ``docs(doc_id, text)``: ``(doc_id, ids array<int>)``, without special tokens.
+
+    With output ``bytes`` also ``decoded``, the bytes of the ids; with ``digests``
+    ``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` instead of both, hashed piece by piece.
     Texts of up to ``size`` characters are one chunk and are encoded where they are read.  Longer ones are cut into
     overlapping chunks, which are dealt to all tasks and pre-tokenised there; their boundaries and texts then meet by
     row, in order, and are stitched and encoded as a stream, so no task holds more than two chunks of a text.
     A null text counts as empty: no ids, and the hashes of nothing.  Repeated rows and null ids stay as they are.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32()), pa.binary()]
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    class Whole:
-        def __init__(self):
-            self.ids, self.bytes = [], []
-
-        def add(self, ids, own, _):
-            self.ids += ids
-            self.bytes.append(own.decode_bytes(ids))
-
-        def row(self):
-            return self.ids, b"".join(self.bytes)
-
-    made = Digest if digests else Whole
+    schema, made = OUTPUTS[output]
+    names, types = zip(*[(x.split()[0], ARROW[x.split()[1]]) for x in schema.split(", ")])
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -133,11 +148,15 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = 32_768, overlap
     def short(batches):
         own, words = encoding(path, pattern)
         for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows, held = [], 0
+            for k in range(b.num_rows):
                 d = made()
-                d.add(own.encode_ordinary(text or ""), own, words)
-                rows.append((i, *d.row()))
+                d.add(own.encode_ordinary(b.column(1)[k].as_py() or ""), own, words)
+                rows.append((b.column(0)[k].as_py(), *d.row()))
+                held += d.n
+                if held > HELD:
+                    yield batch(rows)
+                    rows, held = [], 0
             if rows:
                 yield batch(rows)
 
@@ -157,24 +176,27 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = 32_768, overlap
 
     def stitch(batches):
         own, words = encoding(path, pattern)
-        at = None
+        at, rows, held = None, [], 0
+
+        def finish():
+            for x in stitcher.close():
+                out.add(own.encode_ordinary(x), own, words)
+            rows.append((doc, *out.row()))
+            return out.n
+
         for b in batches:
-            rows = []
             for row, i, begin, piece, marks in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "begin", "piece", "marks"))):
                 if row != at:
-                    if at is not None:
-                        for x in stitcher.close():
-                            out.add(own.encode_ordinary(x), own, words)
-                        rows.append((doc, *out.row()))
+                    held += finish() if at is not None else 0
+                    if held > HELD:
+                        yield batch(rows)
+                        rows, held = [], 0
                     at, doc, out, stitcher = row, i, made(), Stitcher(pattern, overlap)
                 for x in stitcher.add(begin, piece, marks):
                     out.add(own.encode_ordinary(x), own, words)
-            if rows:
-                yield batch(rows)
         if at is not None:
-            for x in stitcher.close():
-                out.add(own.encode_ordinary(x), own, words)
-            yield batch([(doc, *out.row())])
+            finish()
+            yield batch(rows)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text") > size, F.lit(False))
@@ -196,4 +218,4 @@ def production() -> tuple[str, str]:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(common.table(spark, sf_dir, "documents"), *production(), digests=True)
+    return encode(common.table(spark, sf_dir, "documents"), *production(), output="digests")

@@ -123,7 +123,7 @@ class Tokens:
         return np.where((self.length > k) & (self.kind == 1), mixed(h), np.uint64(0))
 
 
-def blocks(texts: list, most: int = 2_000_000):
+def blocks(texts: list, most: int = 1_000_000):
     """Consecutive ranges ``(i, j)`` of texts with about ``most`` bytes each."""
     i = total = 0
     for j, t in enumerate(texts):
