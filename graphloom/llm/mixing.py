@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: list[float] | None = None, slots: int = 65_536
     total = sum(x[1] for x in found)
     block = min(most_block, max(1, total // slots))
     due = schedule(spark, plan, -(-total // block), block)
-    info = spark.createDataFrame([(i, p["source"], p["size"], float(p["target"]), -(-p["rows"] // 20_000)) for i, p in enumerate(plan)], "source_no int, __source string, source_size long, target double, parts long")
+    info = spark.createDataFrame([(i, p["source"], p["size"], float(p["target"]), min(65_536, -(-p["rows"] // 2000))) for i, p in enumerate(plan)], "source_no int, __source string, source_size long, target double, parts long")
     named = rows.join(F.broadcast(info), F.expr("source <=> __source")).drop("__source")
     placed = common.checkpoint(offsets(named.where("size > 0"), ["source_no"], "parts", ["h", "doc_id", "size"], "size"))
     pieces = placed.select("source_no", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
