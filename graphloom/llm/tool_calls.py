@@ -46,32 +46,54 @@ def argument_errors(name: Column, arguments: Column, parsed: Column, schemas: Sc
 def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)``: 0 for calls that wait for none, else one more than the latest they wait for.
 
-    ``calls`` has ``conv_id, call_id, waits_for array<string>``, a row per call.  A round joins the links of the calls
-    still open with the levels just found; there are as many rounds as the longest chain.  Calls that wait for each
-    other in a circle, or for such calls, get no level.  Checkpoints cut the lineage.
+    ``calls`` has ``conv_id, call_id, waits_for array<string>``, a row per call.  Calls that wait for just one other form
+    chains, which are walked by doubling: a chain of n calls takes log2(n) joins.  What is left are calls that wait for
+    several, whose chains' ends are settled in layers; there are as many rounds as such calls lie on one path.
+    Calls that wait for each other in a circle, or for such calls, get no level.  Checkpoints cut the lineage.
     """
-    nodes = common.checkpoint(calls.select("conv_id", "call_id", "waits_for"))
-    links = nodes.select("conv_id", "call_id", F.explode("waits_for").alias("on"))
+    node = ["conv_id", "call_id"]
+    nodes = common.checkpoint(calls.select(*node, "waits_for"))
+    links = nodes.select(*node, F.explode("waits_for").alias("on"))
     links = common.checkpoint(links.join(nodes.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]).distinct())
-    blocked = links.select("conv_id", "call_id").distinct()
-    done = common.checkpoint(nodes.select("conv_id", "call_id").join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    new, level = done, 0
-    while True:
-        level += 1
-        left = common.checkpoint(links.join(new.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti"))
-        freed = links.join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id").distinct()
-        new = common.checkpoint(freed.withColumn("level", F.lit(level)))
-        if new.isEmpty():
-            return done
-        done, links = common.checkpoint(done.unionByName(new)), left
+    waits = links.groupBy(*node).agg(F.count("*").alias("n"), F.min("on").alias("on"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    start = nodes.join(waits, node, "left").select(*node, F.when(one, F.col("on")).otherwise(F.col("call_id")).alias("up"), one.cast("long").alias("far"), (~one & F.col("n").isNotNull()).alias("several"), (~one).alias("ends"))
+    start = common.checkpoint(start)
+    settled, walking = start.where("ends"), start.where("NOT ends")
+    longest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        if walking.isEmpty():
+            break
+        ahead = settled.unionByName(walking).select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("ends").alias("done"))
+        walked = walking.join(ahead, ["conv_id", "up"]).select(*node, F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.lit(False).alias("several"), F.col("done").alias("ends"))
+        walked = common.checkpoint(walked)
+        settled, walking = settled.unionByName(walked.where("ends")), walked.where("NOT ends")
+    settled = common.checkpoint(settled)
+    known = start.where("ends AND NOT several").select(*node, F.lit(0).cast("long").alias("level"))
+    heads = start.where("several").select(*node)
+    if not heads.isEmpty():
+        place = settled.select("conv_id", F.col("call_id").alias("on"), "up", "far")
+        inner = links.join(heads, node).join(place, ["conv_id", "on"], "left").select(*node, "up", F.col("far") + 1)
+        inner, known = common.checkpoint(inner.toDF(*node, "up", "far")), common.checkpoint(known)
+        left, new = inner, known
+        while True:
+            left = common.checkpoint(left.join(new.select("conv_id", F.col("call_id").alias("up")), ["conv_id", "up"], "left_anti"))
+            ready = heads.join(known.select(*node), node, "left_anti").join(left.select(*node).distinct(), node, "left_anti")
+            base = known.select("conv_id", F.col("call_id").alias("up"), "level")
+            new = common.checkpoint(inner.join(ready, node, "left_semi").join(base, ["conv_id", "up"]).groupBy(*node).agg(F.max(F.col("far") + F.col("level")).alias("level")))
+            if new.isEmpty():
+                break
+            known = common.checkpoint(known.unionByName(new))
+    base = known.select("conv_id", F.col("call_id").alias("up"), "level")
+    return settled.join(base, ["conv_id", "up"]).select(*node, (F.col("far") + F.col("level")).cast("int").alias("level"))
 
 
 def link(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """A row per tool call of ``messages(conv_id, turn, role, text, tool_calls, tool_call_id)``.
 
     tool_calls: calls that an assistant's message makes (``CALLS``); tool_call_id: the call whose result a tool's
-    message is, in ``text``.  Returns ``conv_id, turn, k`` (place in its message), ``call_id, name, waits_for`` (calls of
-    the conversation that arguments refer to, as ``"$call:<id>"``), ``level`` (topological: calls in order of level,
+    message is, in ``text``.  Returns ``conv_id, turn, k`` (place in its message), ``call_id, name, waits_for`` (ids, of
+    calls of the conversation or not, that arguments refer to as ``"$call:<id>"``), ``level`` (topological: calls in order of level,
     turn and k never come before one they wait for; null within a circle), ``n_results, result`` (first text by turn),
     ``errors`` (array of strings) and ``canonical``: JSON without spaces, keys sorted, of arguments, id, name and
     result.
