@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
 
-SNAPSHOT = F.lit("all").alias("snapshot_id")
+
+def snapshot() -> Column:
+    return F.lit("all").alias("snapshot_id")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations: id is the name, root and stableId say the region, too."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     root = F.concat_ws("/", F.lit("src"), F.lower("r_name"), F.lower("n_name"))
-    return n.select(SNAPSHOT, F.col("n_name").alias("id"), root.alias("stableId"), root.alias("root"), F.col("n_nationkey").alias("key"))
+    return n.select(snapshot(), F.col("n_name").alias("id"), root.alias("stableId"), root.alias("root"), F.col("n_nationkey").alias("key"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("file"), F.col("s_suppkey").alias("n"), F.col("s_nationkey").alias("key"), (F.col("s_acctbal") > 5000).alias("public"))
     end = F.element_at(F.create_map(*[F.lit(x) for kv in ends.items() for x in kv]), (F.col("n") % 7).cast("int"))
     m = modules(spark, sf_dir).select("key", F.col("id").alias("module"), "root")
-    return c.unionByName(s).join(m, "key").select(SNAPSHOT, "file", "module", "public", F.concat("root", F.lit("/"), "file", end).alias("path"))
+    return c.unionByName(s).join(m, "key").select(snapshot(), "file", "module", "public", F.concat("root", F.lit("/"), "file", end).alias("path"))
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 5, F.concat(F.lit("#lib/s"), "l_suppkey")).when(n == 6, "node:path").otherwise(F.concat(F.lit("/style/p"), part, F.lit(".scss")))
     )
     return known.select(
-        SNAPSHOT, F.concat(F.lit("c"), "o_custkey").alias("fromFile"), F.concat(F.lit("s"), "l_suppkey").alias("target"), specifier.alias("specifier"),
+        snapshot(), F.concat(F.lit("c"), "o_custkey").alias("fromFile"), F.concat(F.lit("s"), "l_suppkey").alias("target"), specifier.alias("specifier"),
         F.when(F.col("l_returnflag") == "N", "dynamic").when(F.col("l_returnflag") == "R", "require").otherwise("static").alias("importKind"),
         (F.col("l_linestatus") == "F").alias("typeOnly"), n.cast("int").alias("line"), F.col("l_quantity").alias("quantity"), F.col("o_orderdate").alias("day"),
         F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), "l_extendedprice",
