@@ -5,6 +5,7 @@ Corners on several scales, binary tests turned to each corner's orientation, Ham
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -31,7 +32,8 @@ def _tests() -> np.ndarray:
 
 TESTS = _tests()
 #: Bits that make the key of each Hamming table.
-TABLES = np.stack([np.random.default_rng([21, t]).permutation(BITS)[:16] for t in range(10)])
+KEY_BITS = 20
+TABLES = np.stack([np.random.default_rng([21, t]).permutation(BITS)[:KEY_BITS] for t in range(8)])
 
 
 def encode_pgm(image: np.ndarray) -> bytes:
@@ -41,7 +43,7 @@ def encode_pgm(image: np.ndarray) -> bytes:
 def decode_pgm(data: bytes | None) -> np.ndarray | None:
     """A grey image (height, width) of a binary PGM; None for anything else or cut data."""
     m = re.match(rb"P5\s+(?:#[^\n]*\s+)*(\d+)\s+(\d+)\s+(\d+)\s", data or b"")
-    if not m or not 0 < int(m[3]) < 256 or len(data) - m.end() < int(m[1]) * int(m[2]):
+    if not m or not 0 < int(m[3]) < 256 or not int(m[1]) * int(m[2]) or len(data) - m.end() < int(m[1]) * int(m[2]):
         return None
     w, h = int(m[1]), int(m[2])
     return np.frombuffer(data, np.uint8, w * h, m.end()).reshape(h, w)
@@ -52,9 +54,9 @@ def box(a: np.ndarray, r: int, how=np.add) -> np.ndarray:
     for axis in (1, 2):
         p = np.pad(a, [(r, r) if k == axis else (0, 0) for k in range(3)], mode="edge")
         n = a.shape[axis]
-        parts = [p.take(range(o, o + n), axis) for o in range(2 * r + 1)]
-        out = parts[0].copy()
-        for x in parts[1:]:
+        parts = [p[:, o : o + n] if axis == 1 else p[:, :, o : o + n] for o in range(2 * r + 1)]
+        out = how(parts[0], parts[1])
+        for x in parts[2:]:
             how(out, x, out=out)
         a = out
     return a
@@ -122,9 +124,9 @@ def describe_all(images: list[np.ndarray | None]) -> list[np.ndarray]:
 
 
 def keys(bits: np.ndarray) -> np.ndarray:
-    """``(table, descriptor)``: 16-bit keys."""
+    """``(table, descriptor)``: the bits of each table's key."""
     unpacked = np.unpackbits(bits, axis=1)
-    return np.stack([unpacked[:, t] @ (1 << np.arange(16)) for t in TABLES]) if len(bits) else np.zeros((len(TABLES), 0), np.int64)
+    return np.stack([unpacked[:, t] @ (1 << np.arange(KEY_BITS)) for t in TABLES]) if len(bits) else np.zeros((len(TABLES), 0), np.int64)
 
 
 class Index:
@@ -133,24 +135,36 @@ class Index:
     def __init__(self, ids: list, points: list[np.ndarray]):
         self.ids, self.owner = ids, np.repeat(np.arange(len(ids)), [len(p) for p in points])
         self.points = np.concatenate(points) if points else np.empty(0, POINT)
-        self.order, self.first = [], []
+        self.tables = []
         for row in keys(self.points["bits"]):
             order = np.argsort(row, kind="stable")
-            self.order.append(order)
-            self.first.append(np.searchsorted(row[order], np.arange(2**16 + 1)))
+            self.tables.append((order, *np.unique(row[order], return_index=True, return_counts=True)))
 
     def pairs(self, points: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
         """``(query descriptor, descriptor)`` that share a key and differ in at most ``differ`` bits."""
-        got = []
-        for order, first, row in zip(self.order, self.first, keys(points["bits"])):
-            n = first[row + 1] - first[row]
-            j = np.repeat(np.arange(len(row)), n)
-            i = order[np.repeat(first[row] - np.cumsum(n) + n, n) + np.arange(len(j))]
-            got.append(np.stack([i, j]))
-        i, j = np.unique(np.concatenate(got, axis=1), axis=1)
+        got = [np.zeros(0, np.int64)]
+        for (order, known, first, count), row in zip(self.tables, keys(points["bits"])):
+            at = np.minimum(np.searchsorted(known, row), len(known) - 1)
+            j = np.flatnonzero(known[at] == row) if len(known) else np.zeros(0, np.int64)
+            n = count[at[j]]
+            i = order[np.repeat(first[at[j]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            got.append(i * len(points) + np.repeat(j, n))
+        i, j = np.divmod(np.unique(np.concatenate(got)), max(1, len(points)))
         close = np.bitwise_count(self.points["bits"][i] ^ points["bits"][j]).sum(1) <= differ
         return i[close], j[close]
 
+    def images(self, points: np.ndarray, differ: int, inliers: int, tolerance: float):
+        """``(query image, (inliers, scale, angle, dx, dy))`` of the queries that an image's descriptors confirm."""
+        q, p = self.pairs(points, differ)
+        owner = self.owner[q]
+        order = np.argsort(owner, kind="stable")
+        owner, q, p = owner[order], q[order], p[order]
+        for o, a, m in zip(*np.unique(owner, return_index=True, return_counts=True)):
+            if m >= inliers:
+                best = consensus(self.points[q[a : a + m]], points[p[a : a + m]], tolerance)
+                if best[0] >= inliers:
+                    yield int(o), best
+
 
 def consensus(q: np.ndarray, p: np.ndarray, tolerance: float) -> tuple[int, float, float, float, float]:
     """Most matched points that one similarity explains, and its scale, angle and shift (from p to q).
@@ -169,61 +183,100 @@ def consensus(q: np.ndarray, p: np.ndarray, tolerance: float) -> tuple[int, floa
     return counts[k], float(ratio[k]), float(angle[k]), float(dx[k]), float(dy[k])
 
 
+PAIR = "query_id long, media_id long, inliers int, scale double, angle double, dx double, dy double"
+
+
+def _described(images: DataFrame) -> DataFrame:
+    """``(media_id, points)`` of the rows that have an id."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                found = describe_all([decode_pgm(x) for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([d.tobytes() for d in found], pa.binary())], names=["media_id", "points"])
+
+    images = images.select(F.col("media_id").cast("long").alias("media_id"), F.col("image").cast("binary").alias("image"))
+    return common.checkpoint(images.where("media_id IS NOT NULL").mapInArrow(run, "media_id long, points binary"))
+
+
+def _blocks(asked: DataFrame, block: int):
+    """The described queries as indexes of about ``block`` images each, by hash of the id; broadcast one by one."""
+    sc, parts = asked.sparkSession.sparkContext, max(1, -(-asked.count() // block))
+    for k in range(parts):
+        own = sorted((r[0], bytes(r[1])) for r in asked.where(F.pmod(F.xxhash64("media_id"), F.lit(parts)) == k).collect())
+        yield sc.broadcast(Index([i for i, _ in own], [np.frombuffer(d, POINT) for _, d in own]))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def find_copies(media: DataFrame, queries: DataFrame, differ: int = 56, inliers: int = 8, tolerance: float = 4.0, block: int = 2000) -> DataFrame:
     """``(query_id, media_id, inliers, scale, angle, dx, dy)`` for every query image and every image that copies it.
 
     Both inputs are ``(media_id long, image binary)`` with PGM images.  A pair is a copy if at least ``inliers`` corners
     agree with one similarity transform within ``tolerance`` pixels; their descriptors differ in at most ``differ`` of
-    256 bits and share a 16-bit key of one of ten tables.  Images that are null, can't be decoded or are too small for
+    256 bits and share a key of one of eight tables.  Images that are null, can't be decoded or are too small for
     a corner match nothing, as do null ids; repeated rows match each on its own; empty inputs give no rows.
 
     Queries are taken in blocks of about ``block`` images (by hash of the id), whose tables have a few MB and go to all
-    tasks; an image meets a block with all its descriptors in one place, so there is no shuffle, no pair leaves a task
-    before it is confirmed, and groups of many copies cost one look-up per image.
+    tasks; an image meets a block with all its descriptors in one place, so there is no shuffle, and no pair leaves a
+    task before it is confirmed.
     """
-    spark = media.sparkSession
 
-    def run(batches):
-        for b in batches:
-            found = describe_all([decode_pgm(x) for x in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d.tobytes() for d in found], pa.binary())], names=["media_id", "points"])
+    def search(index):
+        def run(batches):
+            types = [pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4]
+            for b in batches:
+                rows = [(index.value.ids[o], i, *best) for i, data in zip(*(c.to_pylist() for c in b.columns)) for o, best in index.value.images(np.frombuffer(data, POINT), differ, inliers, tolerance)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in PAIR.split(", ")])
+
+        return run
+
+    known = _described(media)
+    return _union([known.mapInArrow(search(index), PAIR) for index in _blocks(_described(queries), block)])
 
-    schema = "media_id long, points binary"
-    known = common.checkpoint(media.select(F.col("media_id").cast("long"), "image").where("media_id IS NOT NULL").mapInArrow(run, schema))
-    asked = common.checkpoint(queries.select(F.col("media_id").cast("long"), "image").where("media_id IS NOT NULL").mapInArrow(run, schema))
-    parts = max(1, -(-asked.count() // block))
-    result = "query_id long, media_id long, inliers int, scale double, angle double, dx double, dy double"
+
+def copy_classes(media: DataFrame, queries: DataFrame, differ: int = 56, inliers: int = 8, tolerance: float = 4.0, block: int = 2000) -> DataFrame:
+    """``(media_id, n_links, query_id, inliers, component_id)`` for every row of ``media``: what ``find_copies`` links, by class.
+
+    n_links: queries that the image copies; query_id and inliers: the best of them (most inliers, then smallest id), null
+    without any.  component_id: smallest id reachable by links, where a query and the image of its id are one.
+    The pairs are not made into rows: a task returns each image's count and best query, and a spanning star of the
+    queries that images tie together.  Rows with a null media_id are kept and link with nothing; repeated rows are
+    counted each.
+    """
+    names = ["media_id", "n", "query_id", "inliers"]
+    found = "media_id long, n long, query_id long, inliers int"
 
     def search(index):
-        def matches(batches):
+        def run(batches):
+            ids, forest = index.value.ids, common.Forest(len(index.value.ids))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
             for b in batches:
                 rows = []
-                for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    points = np.frombuffer(data, POINT)
-                    if not len(points):
-                        continue
-                    q, p = index.value.pairs(points, differ)
-                    owner = index.value.owner[q]
-                    order = np.argsort(owner, kind="stable")
-                    owner, q, p = owner[order], q[order], p[order]
-                    some, start, n = np.unique(owner, return_index=True, return_counts=True)
-                    for o, a, m in zip(some, start, n):
-                        if m >= inliers:
-                            best = consensus(index.value.points[q[a : a + m]], points[p[a : a + m]], tolerance)
-                            if best[0] >= inliers:
-                                rows.append((index.value.ids[o], i, *best))
-                types = [pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in result.split(", ")])
-
-        return matches
-
-    out = None
-    for k in range(parts):
-        own = sorted((r[0], r[1]) for r in asked.where(F.pmod(F.xxhash64("media_id"), F.lit(parts)) == k).collect())
-        index = spark.sparkContext.broadcast(Index([i for i, _ in own], [np.frombuffer(d, POINT) for _, d in own]))
-        found = known.mapInArrow(search(index), result)
-        out = found if out is None else out.unionByName(found)
-    return out
+                for i, data in zip(*(c.to_pylist() for c in b.columns)):
+                    own = list(index.value.images(np.frombuffer(data, POINT), differ, inliers, tolerance))
+                    if own:
+                        tied = np.array([o for o, _ in own])
+                        forest.link(tied, np.repeat(tied[:1], len(tied)))
+                        o, best = min(own, key=lambda x: (-x[1][0], ids[x[0]]))
+                        rows.append((i, len(own), ids[o], best[0]))
+                yield make(rows)
+            yield make([(ids[k], 0, ids[forest.root[k]], None) for k in np.flatnonzero(forest.root != np.arange(len(ids)))])
+
+        return run
+
+    known, asked = _described(media), _described(queries)
+    links = common.checkpoint(_union([known.mapInArrow(search(index), found) for index in _blocks(asked, block)]))
+    groups = common.connected_components(links, "media_id", "query_id").select(F.col("node").alias("media_id"), "component_id")
+    copies = known.groupBy("media_id").count()
+    best = F.min_by(F.struct("query_id", "inliers"), F.struct(-F.col("inliers"), F.col("query_id")))
+    each = links.where("n > 0").groupBy("media_id").agg(F.sum("n").alias("n"), best.alias("best")).join(copies, "media_id").select("media_id", (F.col("n") / F.col("count")).cast("long").alias("n_links"), "best.query_id", "best.inliers")
+    rows = media.select(F.col("media_id").cast("long").alias("media_id"))
+    return rows.join(each, "media_id", "left").join(groups, "media_id", "left").select("media_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "query_id", "inliers", F.coalesce("component_id", "media_id").alias("component_id"))
 
 
 SIDE = 80
@@ -237,7 +290,7 @@ def render(vectors: DataFrame) -> DataFrame:
 
     def run(batches):
         textures = {}
-        for b in batches:
+        for b in (x.slice(k, 500) for x in batches for k in range(0, x.num_rows, 500)):
             images = []
             for v in b.column(1).to_pylist():
                 v = np.array(v or [], np.float64)  # null components become nan
@@ -281,4 +334,4 @@ def edit(media: DataFrame) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited copies of every image whose id is divisible by 100, searched among all images."""
     media = render(common.table(spark, sf_dir, "embeddings"))
-    return find_copies(media, edit(media.where("media_id % 100 = 0")))
+    return copy_classes(media, edit(media.where("media_id % 100 = 0")))
