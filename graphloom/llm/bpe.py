@@ -55,12 +55,13 @@ class Stitcher:
 
     A chunk's scan is right from the first boundary that it shares with the scan before it; from there on both see the
     same text.  The last boundaries of a scan are not used, as they may hang on what follows (``guard`` characters).
-    Where a chunk shares none (one endless word), it is joined to what is pending and scanned again.
+    Where a chunk shares none (one endless word), it is joined to what is pending, which is scanned again each time that
+    it has doubled.
     """
 
     def __init__(self, pattern: str, overlap: int, guard: int = 16):
         self.pattern, self.overlap, self.guard = pattern, overlap, guard
-        self.pending, self.begin, self.sure = "", 0, []
+        self.pending, self.begin, self.sure, self.scanned = "", 0, [], 0
 
     def add(self, begin: int, piece: str, marks: list[int]):
         """marks: boundaries of the chunk's own scan, in characters from the text's start.  Yields pieces."""
@@ -71,12 +72,16 @@ class Stitcher:
             if meet:
                 yield self.pending[: meet[0] - self.begin]
                 self.begin, self.pending = meet[0], piece[meet[0] - begin :]
+                self.scanned = len(self.pending)
                 marks = [m for m in marks if m > meet[0]]
             else:
                 self.pending += piece[end - begin :]
-                marks = [self.begin + m for m in boundaries(self.pending, self.pattern)]
+                marks = []
+                if len(self.pending) >= 2 * self.scanned:
+                    self.scanned = len(self.pending)
+                    marks = [self.begin + m for m in boundaries(self.pending, self.pattern)]
         else:
-            self.begin, self.pending = begin, piece
+            self.begin, self.pending, self.scanned = begin, piece, len(piece)
         end = self.begin + len(self.pending)
         self.sure = [m for m in marks if end - self.overlap <= m <= end - self.guard]
 
