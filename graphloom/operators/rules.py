@@ -9,6 +9,7 @@ import functools
 import json
 import operator
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -287,10 +288,18 @@ def import_records(owned: DataFrame, modules: DataFrame, zones: dict[str, dict]
     return owned.select(BY, *own, F.array("id").alias("__derived"), proof.cast(E.EVIDENCE).alias("__evidence"))
 
 
+def forbidden_times(forbidden: list[dict]) -> Column:
+    """How many configured pairs an import record matches: a look-up in a literal, as the pairs are a driver's list."""
+    counts = Counter((f["from"], f["to"]) for f in forbidden)
+    if not counts:
+        return F.lit(0)
+    known = F.create_map(*[F.lit(x) for (a, b), n in sorted(counts.items()) for x in (f"{a}\0{b}", n)])
+    return F.when(F.col("isInternal"), F.coalesce(F.try_element_at(known, F.concat_ws("\0", "fromModule", "toModule")), F.lit(0))).otherwise(0)
+
+
 def forbidden_records(records: DataFrame, forbidden: list[dict]) -> DataFrame:
     """Internal import records, once for every configured pair that they match."""
-    rows = records.sparkSession.createDataFrame([(f["from"], f["to"]) for f in forbidden], "fromModule string, toModule string")
-    return records.where("isInternal").join(rows, ["fromModule", "toModule"]).select(records.columns)
+    return records.withColumn("__n", F.explode(F.array_repeat(F.lit(1), forbidden_times(forbidden)))).drop("__n")
 
 
 def cycle_records(cycles: DataFrame) -> DataFrame:
@@ -308,26 +317,31 @@ def module_records(modules: DataFrame) -> DataFrame:
 class Context:
     flags: dict[str, bool]
     collections: dict[str, DataFrame]
+    #: How often an import is a forbidden dependency, if that collection is made of the imports: both are scanned at once.
+    forbidden: Column | None = None
 
 
 def create_context(config: dict, owned: DataFrame, modules: DataFrame, cycles: DataFrame) -> Context:
     imports = import_records(owned, modules, config.get("boundaryZones"))
     flags = {"noCycles": config.get("noCycles", True), "noDeepImports": config.get("noDeepImports", True), "forbiddenDependencies": bool(config.get("forbiddenDependencies"))}
-    return Context(flags, {"cycles": cycle_records(cycles), "imports": imports, "forbiddenDependencies": forbidden_records(imports, config.get("forbiddenDependencies", [])), "modules": module_records(modules)})
+    pairs = config.get("forbiddenDependencies", [])
+    return Context(flags, {"cycles": cycle_records(cycles), "imports": imports, "forbiddenDependencies": forbidden_records(imports, pairs), "modules": module_records(modules)}, forbidden_times(pairs))
 
 
 def evaluate(registry: Registry, context: Context) -> DataFrame:
     """Findings of all rules whose flag is set: snapshot_id, code, category, level, message, file, line, related, data, provenance."""
     if missing := [f for f in registry.required_facts if f not in context.collections]:
         raise ValueError(f"Rule registry requires unavailable facts: {', '.join(missing)}.")
-    parts = []
-    for source in sorted(context.collections):
-        rules = [r for r in registry.rules if r["source"] == source and (not r.get("enabledBy") or context.flags.get(r["enabledBy"]) is True)]
-        if not rules:
-            continue
-        fields = FIELDS[source]
-        made = [F.when(functools.reduce(operator.and_, [condition(fields, c) for c in r.get("where", [])], F.lit(True)), finding(fields, r)) for r in rules]
-        parts.append(context.collections[source].select(BY, F.explode(F.array_compact(F.array(*made))).alias("f")).select(BY, "f.*"))
+    parts, built = [], {}
+    for r in registry.rules:
+        if not r.get("enabledBy") or context.flags.get(r["enabledBy"]) is True:
+            fields = FIELDS[r["source"]]
+            hit = functools.reduce(operator.and_, [condition(fields, c) for c in r.get("where", [])], F.lit(True))
+            made = F.when(hit, finding(fields, r))
+            joint = r["source"] == "forbiddenDependencies" and context.forbidden is not None and "imports" in context.collections
+            built.setdefault("imports" if joint else r["source"], []).append(F.array_repeat(made, context.forbidden) if joint else F.array(made))
+    for source, made in sorted(built.items()):
+        parts.append(context.collections[source].select(BY, F.explode(F.array_compact(F.concat(*made))).alias("f")).select(BY, "f.*"))
     if not parts:
         rule = {"code": "", "finding": {"category": "", "level": "", "message": ""}}
         return context.collections["cycles"].select(BY, finding({}, rule).alias("f")).where("false").select(BY, "f.*")

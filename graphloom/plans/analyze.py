@@ -28,7 +28,7 @@ class SnapshotComparisonError(ValueError):
     code = "INCOMPARABLE_SNAPSHOTS"
 
     def __init__(self, reasons: list[str]):
-        super().__init__(f"Architecture snapshots are not comparable: {'; '.join(reasons)}.")
+        super().__init__(f"Snapshots are not comparable: {'; '.join(reasons)}")
         self.reasons = reasons
 
 
