@@ -95,9 +95,14 @@ def _ranks(words: int, size: int, block: int) -> int:
 
 
 def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """Rows of ``docs`` with their ``size`` in words and their place ``h`` in the shuffled order."""
+    """Rows of ``docs`` with their ``size`` in words and their place ``h``."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.withColumns({"size": words, "h": F.xxhash64("doc_id", "text", F.lit(seed))})
+    return shuffled(docs, seed).withColumn("size", words)
+
+
+def shuffled(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """Rows of ``docs`` with their place ``h`` in the shuffled order: only identical rows share one."""
+    return docs.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed)))
 
 
 def mix(docs: DataFrame, weights: list[float] | None = None, slots: int = 65_536, most_block: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +146,10 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     names = docs.columns
     kept = F.expr("int(round(taken / size))")
     taken = taken.where("size > 0").select(F.col("h").alias("__h"), kept.alias("__times"), F.row_number().over(Window.partitionBy("h").orderBy("taken")).alias("__k"))
-    rows = sized(docs.select(F.struct(*names).alias("__row"), "doc_id", "text"))
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("h").orderBy("size"))).drop("doc_id", "text", "size")
-    met = rows.join(taken.where("__times > 0"), [rows["h"] == taken["__h"], rows["__k"] == taken["__k"]])
+    rows = shuffled(docs.select(F.struct(*names).alias("__row"), "doc_id", "text")).drop("doc_id", "text")
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("h").orderBy("h")))
+    # The ranks are compared as a range: h alone is the key then, by which the texts lie already.
+    met = rows.join(taken.where("__times > 0"), (rows["h"] == taken["__h"]) & rows["__k"].between(taken["__k"], taken["__k"]))
     return met.select("__row", F.explode(F.sequence(F.lit(1), "__times"))).select("__row.*")
 
 
