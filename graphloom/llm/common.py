@@ -123,16 +123,31 @@ class Tokens:
         return np.where((self.length > k) & (self.kind == 1), mixed(h), np.uint64(0))
 
 
-def blocks(texts: list, most: int = 1_000_000):
-    """Consecutive ranges ``(i, j)`` of texts with about ``most`` bytes each."""
-    i = total = 0
+def blocks(texts: list[bytes], most: int = 1_000_000):
+    """``(owners, pieces)`` of about ``most`` bytes each: whole texts, and parts of longer ones, cut before a blank.
+
+    owners: the place in ``texts`` of each piece's text.  A word without end is cut at twice the size.
+    """
+    owners, pieces, total = [], [], 0
     for j, t in enumerate(texts):
-        if total and total + len(t) > most:
-            yield i, j
-            i, total = j, 0
-        total += len(t)
-    if i < len(texts):
-        yield i, len(texts)
+        at = 0
+        while True:
+            end = len(t)
+            if end - at > most:
+                end = at + most
+                while end < min(len(t), at + 2 * most) and t[end] not in BLANKS:
+                    end += 1
+            if pieces and total + end - at > most:
+                yield np.array(owners), pieces
+                owners, pieces, total = [], [], 0
+            owners.append(j)
+            pieces.append(t[at:end])
+            total += end - at
+            at = end
+            if at >= len(t):
+                break
+    if pieces:
+        yield np.array(owners), pieces
 
 
 def summed(parts: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def word_vectors(docs: DataFrame, buckets: int = 16_384, dims: int = 32, window:
         total, mask = np.zeros(buckets * dims), np.uint64(buckets - 1)
         for b in batches:
             texts = [(t or "").encode() for t in b.column(0).to_pylist()]
-            for i, j in common.blocks(texts):
-                tokens = common.Tokens(texts[i:j])
+            for _, pieces in common.blocks(texts):
+                tokens = common.Tokens(pieces)
                 w = (tokens.hash & mask).astype(np.int64)
                 for o in range(1, window + 1):
                     same = tokens.doc[o:] == tokens.doc[:-o]
@@ -54,30 +54,44 @@ def word_vectors(docs: DataFrame, buckets: int = 16_384, dims: int = 32, window:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+SHAPES = 10
+
+
+def shapes(t: common.Tokens) -> list[np.ndarray]:
+    """Per token: punctuation, runs of it, bars, capitals, repeats of the last and second last token, length, scripts, digits."""
+    first = t.bytes[t.start] if len(t.start) else np.zeros(0, np.uint8)
+    second = t.bytes[np.minimum(t.start + 1, len(t.bytes) - 1)] if len(t.start) else first
+    upper = lambda c: ((c >= 65) & (c <= 90)).astype(float)
+
+    def again(o: int) -> np.ndarray:
+        return np.concatenate([np.zeros(min(o, len(t.hash))), ((t.hash[o:] == t.hash[:-o]) & (t.doc[o:] == t.doc[:-o])).astype(float)])
+
+    marks = t.kind == 2
+    return [marks, marks & (t.length > 1), marks & (first == ord("|")), upper(first), upper(first) * upper(second), again(1), again(2), np.minimum(t.length, 30), first >= 128, (first >= 48) & (first <= 57)]
+
+
+def width(vectors: np.ndarray) -> int:
+    return 2 * vectors.shape[1] + SHAPES + 1
+
+
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row per text: mean word vector, mean square of it, and shares of surface forms.  Whole texts, in blocks."""
-    out = []
-    for i, j in common.blocks(texts):
-        t = common.Tokens(texts[i:j])
-        n = j - i
-        count = np.bincount(t.doc, minlength=n)
-        some = np.maximum(count, 1)[:, None]
-        per = lambda x: np.bincount(t.doc, x, n)[:, None] / some
-        v = vectors[(t.hash & np.uint64(len(vectors) - 1)).astype(np.int64)]
-        total = np.zeros((n, vectors.shape[1]))
-        has = np.flatnonzero(count)
-        if len(has):
-            total[has] = np.add.reduceat(v, np.concatenate([[0], np.cumsum(count[has])[:-1]]), axis=0)
-        mean = total / some
-        first = t.bytes[t.start] if len(t.start) else np.zeros(0, np.uint8)
-        second = t.bytes[np.minimum(t.start + 1, len(t.bytes) - 1)] if len(t.start) else first
-        upper = lambda c: ((c >= 65) & (c <= 90)).astype(float)
-        again = lambda o: np.concatenate([np.zeros(min(o, len(t.hash))), ((t.hash[o:] == t.hash[:-o]) & (t.doc[o:] == t.doc[:-o])).astype(float)])
-        long = (t.kind == 2) & (t.length > 1)
-        pipes = (t.kind == 2) & (first == ord("|"))
-        shape = [np.log1p(count)[:, None], per(t.kind == 2), per(long), per(pipes), per(upper(first)), per(upper(first) * upper(second)), per(again(1)), per(again(2)), per(np.minimum(t.length, 30)), per(first.astype(float) >= 128), per((first >= 48) & (first <= 57))]
-        out.append(np.concatenate([mean, mean * mean, *shape], axis=1))
-    return np.concatenate(out).astype(np.float32) if out else np.zeros((0, 2 * vectors.shape[1] + 11), np.float32)
+    """A row per text: mean word vector, its square, size, and shares of surface forms.  Whole texts, in blocks of bytes."""
+    n = len(texts)
+    count, total, forms = np.zeros(n), np.zeros((n, vectors.shape[1])), np.zeros((n, SHAPES))
+    for owners, pieces in common.blocks(texts):
+        t = common.Tokens(pieces)
+        own = np.bincount(t.doc, minlength=len(pieces))
+        has = np.flatnonzero(own)
+        if not len(has):
+            continue
+        starts = np.cumsum(own[has]) - own[has]
+        to = owners[has]
+        np.add.at(count, to, own[has])
+        np.add.at(total, to, np.add.reduceat(vectors[(t.hash & np.uint64(len(vectors) - 1)).astype(np.int64)], starts, axis=0))
+        np.add.at(forms, to, np.stack([np.add.reduceat(x.astype(float), starts) for x in shapes(t)], axis=1))
+    some = np.maximum(count, 1)[:, None]
+    mean = total / some
+    return np.concatenate([mean, mean * mean, np.log1p(count)[:, None], forms / some], axis=1).astype(np.float32)
 
 
 @dataclasses.dataclass
@@ -161,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 3,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
     rows = sorted(collected(docs, labelled_sample(labels, "quality", folds, held_out, most)).mapInArrow(run, "id long, y int, x binary").collect())
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, 2 * vectors.shape[1] + 11))
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, width(vectors)))
     return vectors, train(x, np.array([r["y"] for r in rows]))
 
 

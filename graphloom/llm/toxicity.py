@@ -36,16 +36,32 @@ def swapper(identities=IDENTITIES):
     return swap
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, feature)`` with repeats: 64-bit hashes of words and of the first 4 and 5 bytes of longer words."""
-    t = common.Tokens(texts)
+def features(owners: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``(owner, feature)`` with repeats: 64-bit hashes of words and of the first 4 and 5 bytes of longer words."""
+    t = common.Tokens(pieces)
     word = t.kind == 1
-    all_docs, all_features = [t.doc[word]], [t.hash[word]]
+    docs, found = [t.doc[word]], [t.hash[word]]
     for k in STEMS:
         p = t.prefix(k)
-        all_docs.append(t.doc[p != 0])
-        all_features.append(p[p != 0])
-    return np.concatenate(all_docs), np.concatenate(all_features)
+        docs.append(t.doc[p != 0])
+        found.append(p[p != 0])
+    return owners[np.concatenate(docs)], np.concatenate(found)
+
+
+def chosen_features(texts: list[bytes], keep) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, feature)`` of whole texts, each once, of the features for which ``keep`` is true."""
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for owners, pieces in common.blocks(texts):
+        doc, f = features(owners, pieces)
+        own = keep(f)
+        docs.append(doc[own])
+        found.append(f[own])
+    doc, f = np.concatenate(docs), np.concatenate(found)
+    order = np.lexsort((f, doc))
+    doc, f = doc[order], f[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], f[new]
 
 
 def evidence(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
@@ -70,20 +86,15 @@ class Model:
         self.filter = np.zeros(2**22, bool)
         self.filter[(self.features & np.uint64(2**22 - 1)).astype(np.int64)] = True
 
+    def known(self, f: np.ndarray) -> np.ndarray:
+        hit = self.filter[(f & np.uint64(2**22 - 1)).astype(np.int64)]
+        at = np.minimum(np.searchsorted(self.features, f[hit]), max(0, len(self.features) - 1))
+        hit[hit] = self.features[at] == f[hit] if len(self.features) else False
+        return hit
+
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        out = []
-        for i, j in common.blocks(texts):
-            doc, f = features(texts[i:j])
-            maybe = self.filter[(f & np.uint64(2**22 - 1)).astype(np.int64)]
-            doc, f = doc[maybe], f[maybe]
-            z = np.full(j - i, self.bias)
-            if len(f):
-                at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
-                hit = self.features[at] == f
-                pairs = np.unique(np.stack([doc[hit], at[hit]]), axis=1)
-                z += np.bincount(pairs[0], self.weights[pairs[1]], j - i)
-            out.append(z)
-        return np.concatenate(out) if out else np.zeros(0)
+        doc, f = chosen_features(texts, self.known)
+        return self.bias + np.bincount(doc, self.weights[np.searchsorted(self.features, f)], len(texts))
 
 
 def train(rows: list[tuple], y: np.ndarray, swapped: list[tuple], most: int = 2048, penalty: float = 1.0, l2: float = 3e-4, steps: int = 400) -> Model:
@@ -143,17 +154,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5,
     sample = quality.collected(docs, quality.labelled_sample(labels, "toxic", folds, held_out, most))
     half = BINS // quality.BLOCKS
 
+    def add(pairs, y, total):
+        own, at = y[pairs // BINS], pairs % BINS
+        np.add.at(total, (at // half, own, at % half), 1)
+
     def bins(batches):
         total = np.zeros((quality.BLOCKS, 2, half), np.float32)
         n = np.zeros(2)
         for b in batches:
             texts, y = [(t or "").encode() for t in b.column(1).to_pylist()], np.asarray(b.column(2))
             n += np.bincount(y, minlength=2)[:2]
-            for i, j in common.blocks(texts):
-                doc, f = features(texts[i:j])
+            rest = []
+            for owners, pieces in common.blocks(texts):
+                doc, f = features(owners, pieces)
                 pairs = np.unique(doc * BINS + (f & np.uint64(BINS - 1)).astype(np.int64))
-                own, at = y[i:j][pairs // BINS], pairs % BINS
-                np.add.at(total, (at // half, own, at % half), 1)
+                cut = np.isin(pairs // BINS, owners[[0, -1]])  # their texts may have more pieces in other blocks
+                rest.append(pairs[cut])
+                add(pairs[~cut], y, total)
+            add(np.unique(np.concatenate(rest)) if rest else np.zeros(0, np.int64), y, total)
         if n.any():
             yield pa.RecordBatch.from_arrays([pa.array([*range(quality.BLOCKS), -1], pa.int32()), pa.array([*(t.tobytes() for t in total), n.astype(np.float32).tobytes()], pa.binary())], names=["block", "value"])
 
@@ -171,13 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5,
         swap = swapper(identities)
 
         def own(texts):
-            found = []
-            for i, j in common.blocks(texts):
-                doc, f = features(texts[i:j])
-                keep = strong[(f & np.uint64(BINS - 1)).astype(np.int64)]
-                doc, f = doc[keep], f[keep]
-                found += [np.unique(f[doc == k]).tobytes() for k in range(j - i)]
-            return found
+            doc, f = chosen_features(texts, lambda f: strong[(f & np.uint64(BINS - 1)).astype(np.int64)])
+            return [x.tobytes() for x in np.split(f, np.searchsorted(doc, np.arange(1, len(texts))))] if texts else []
 
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]

@@ -238,7 +238,21 @@ def test_tokens_are_those_of_a_plain_loop():
     assert t.doc.tolist() == [0] * 5 + [2] * 2 + [3] * 2 and t.kind.tolist() == [1, 2, 1, 2, 1, 1, 1, 1, 1]
     assert t.hash[0] == t.hash[2] and t.hash[1] != t.hash[3] and t.hash[5] == t.hash[6] and len(set(t.hash.tolist())) == 7
     assert t.prefix(1)[0] == t.prefix(1)[2] != 0 and t.prefix(1)[4] == 0
-    assert list(common.blocks([b"aaa", b"bb", b"c"], 3)) == [(0, 1), (1, 3)] and list(common.blocks([])) == []
+    cut = [(o.tolist(), p) for o, p in common.blocks([b"aaa", b"bb", b"c", b"", b"ddd dd d", b"e"], 3)]
+    assert cut == [([0], [b"aaa"]), ([1, 2, 3], [b"bb", b"c", b""]), ([4], [b"ddd"]), ([4], [b" dd"]), ([4, 5], [b" d", b"e"])] and not list(common.blocks([]))
+    assert [p for _, p in common.blocks([b"x" * 20], 3)] == [[b"x" * 6]] * 3 + [[b"xx"]]
+
+
+def test_pooling_and_features_do_not_hang_on_the_cut(monkeypatch):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(64, 4)).astype(np.float32)
+    texts = [" ".join(rng.choice(["Ab!!", "c", "idiot", "|", "é12", "vequxx"], k)).encode() for k in (0, 3, 400, 7)]
+    model = toxicity.Model(np.unique(toxicity.features(np.zeros(1, int), [b"idiot vequa"])[1]), np.ones(5), 0.5)
+    blocks = common.blocks
+    want = quality.pooled(texts, vectors), model.logits(texts), [x.tolist() for x in toxicity.chosen_features(texts, lambda f: f > 0)]
+    monkeypatch.setattr(common, "blocks", lambda t: blocks(t, 50))
+    assert np.allclose(quality.pooled(texts, vectors)[:, :-6], want[0][:, :-6], atol=1e-5) and np.allclose(quality.pooled(texts, vectors)[:, -3:], want[0][:, -3:], atol=1e-5)
+    assert np.allclose(model.logits(texts), want[1]) and [x.tolist() for x in toxicity.chosen_features(texts, lambda f: f > 0)] == want[2]
 
 
 def _auc(y, s):
