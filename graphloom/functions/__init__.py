@@ -1,0 +1 @@
+"""Column expressions and pure functions that operators share."""

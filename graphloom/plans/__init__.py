@@ -1,0 +1 @@
+"""Compositions of operators: analyses, reports, queries, the command line."""

@@ -1,0 +1 @@
+"""Projects and snapshots: reading, shapes, extraction, resolution."""

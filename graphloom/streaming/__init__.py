@@ -1,0 +1 @@
+"""Empty by design: snapshots are whole, have no event time, and no operator here keeps state between batches."""
