@@ -464,3 +464,101 @@ def module_id_collisions(spark, d):
 def module_inference(spark, d):
     found, _ = M.infer_modules(trade.files(spark, d).select("snapshot_id", "path"), {"modules": {"far": {"root": "src/asia/nation_2"}}}, "src", ["src/asia", "src/europe", "src/africa"], "shop")
     return found.select("id", "root", F.size("files").cast("long").alias("n_files"), F.size("entrypoints").cast("long").alias("n_entrypoints"))
+
+
+# ---------------------------------------------------------------- keys, selectors, more collections
+
+
+@query(_FOUND + ", k AS (SELECT concat_ws('|', code, category, coalesce(file, ''), coalesce(line, 0), message) || CASE WHEN id IS NULL THEN '' ELSE '|' || id END AS key FROM f) SELECT sha256(key) AS key, count(*) AS n FROM k GROUP BY 1")
+def finding_keys(spark, d):
+    key = F.translate(R.finding_key(), "\0", "|")
+    return _findings(spark, d).groupBy(F.sha2(key, 256).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query(_FOUND + " SELECT code, CASE level WHEN 'info' THEN 'note' ELSE level END AS level, CASE category WHEN 'violation' THEN 'fail' ELSE 'informational' END AS kind, file IS NULL AS nowhere, count(*) AS n FROM f GROUP BY ALL")
+def sarif_results(spark, d):
+    return render.sarif_results(_findings(spark, d)).groupBy("code", "level", "kind", F.col("file").isNull().alias("nowhere")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, regexp_matches(root, '^src/[^/]*/nation_.$') OR regexp_matches(id, '^NATION_1.*$') AS star, regexp_matches(root, '^src/.*/nation_2[^/]*$') AS deep, root LIKE 'src/europe/%' AS below FROM mods")
+def selector_match(spark, d):
+    columns = [F.col("id"), F.col("stableId"), F.col("root")]
+    found = {"star": ["src/*/nation_?", "NATION_1**"], "deep": ["src/**/nation_2*"], "below": ["src\\europe/**"]}
+    return trade.modules(spark, d).select("id", *[globs.selects(columns, v).alias(k) for k, v in found.items()])
+
+
+@query("SELECT path, CASE WHEN regexp_matches(path, '\\.(jsx?|mjs|cjs)$', 'i') THEN 'javascript' ELSE 'typescript' END AS language, 'observed' AS origin, path AS evidence FROM files")
+def file_facts(spark, d):
+    path = F.col("path")
+    proof = E.provenance("observed", "typescript-source", evidence=F.array(E.evidence("file", path, path)))
+    facts = trade.files(spark, d).select("path", paths.language(path).alias("language"), proof.alias("p"))
+    return facts.select("path", "language", "p.origin", F.col("p.evidence")[0]["id"].alias("evidence"))
+
+
+@query("SELECT line, importKind AS kind, count(*) AS n FROM owned WHERE line > 2 AND starts_with(specifier, '.') AND importKind <> 'static' GROUP BY ALL")
+def rule_conjunction(spark, d):
+    rule = {"code": "own/x", "source": "imports", "where": [_c("line", "gt", 2), _c("specifier", "startsWith", "."), _c("isDynamic", "truthy")], "finding": {"category": "observation", "level": "info", "message": "${importKind}", "line": {"field": "line"}}}
+    found = R.evaluate(R.select_registry({}, [rule]), R.Context({}, {"imports": _records(spark, d)}))
+    return found.groupBy("line", F.col("message").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM owned")
+def rule_without_conditions(spark, d):
+    rule = {"code": "own/all", "source": "imports", "finding": {"category": "observation", "level": "info", "message": "m"}}
+    return R.evaluate(R.select_registry({}, [rule]), R.Context({}, {"imports": _records(spark, d)})).agg(F.count("*").alias("n"))
+
+
+@query(_SCC + " SELECT members FROM grp WHERE contains(',' || members || ',', ',NATION_' || (SELECT min(substr(module, 8)::INT) FROM comp WHERE component IN (SELECT component FROM grp)) || ',')")
+def rule_includes_member(spark, d):
+    """Cycles that hold the nation of the smallest number in any; it stands in a field, which the rule refers to."""
+    records = R.cycle_records(G.cycles(_sparse(spark, d)))
+    least = records.select(F.explode("modules").alias("m")).agg(F.min_by("m", F.substring("m", 8, 9).cast("int")).alias("id"))
+    hit = R.condition(R.FIELDS["cycles"], _c("modules", "includes", {"field": "id"}))
+    return records.drop("id").join(least, F.lit(True)).where(hit).select(F.array_join("modules", ",").alias("members"))
+
+
+@query("SELECT id AS module, (SELECT count(*) FROM files WHERE module = id AND public) > 0 AS has_entrypoint, true AS has_peers FROM mods")
+def module_records(spark, d):
+    own = trade.entrypoints(spark, d).groupBy("snapshot_id", F.col("module").alias("id")).agg(F.collect_list("file").alias("entrypoints"))
+    mods = trade.modules(spark, d).join(own, ["snapshot_id", "id"], "left").withColumn("entrypoints", F.coalesce("entrypoints", F.array().cast("array<string>")))
+    return R.module_records(mods).select(F.col("moduleId").alias("module"), F.col("hasPublicEntrypoint").alias("has_entrypoint"), F.col("hasPeers").alias("has_peers"))
+
+
+@query(", b AS (SELECT path, module FROM files WHERE path NOT LIKE '%.js'), a AS (SELECT path, CASE WHEN module = 'NATION_4' THEN 'NATION_5' ELSE module END AS module FROM files WHERE path NOT LIKE '%.tsx') SELECT coalesce(a.path, b.path) AS file, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change, b.module AS was, a.module AS \"is\" FROM a FULL JOIN b USING (path) WHERE a.module IS DISTINCT FROM b.module")
+def ownership_diff(spark, d):
+    own = trade.files(spark, d).select(F.col("path").alias("file"), "module")
+    moved = F.when(F.col("module") == "NATION_4", "NATION_5").otherwise(F.col("module")).alias("module")
+    found = D.diff_collection(own.where("file NOT LIKE '%.js'"), own.where("file NOT LIKE '%.tsx'").select("file", moved), "file")
+    return found.select(F.col("key").alias("file"), "change", F.col("before.module").alias("was"), F.col("after.module").alias("is"))
+
+
+@query("SELECT 'src/' || lower(r_name) || '/' || lower(n_name) AS key, 'changed' AS change FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0", with_trade=False)
+def module_diff(spark, d):
+    """Modules by root: every third has another name afterwards, all another stableId, which doesn't count."""
+    mods = trade.modules(spark, d).select("id", "stableId", "root", "key")
+    after = mods.select(F.when(F.col("key") % 3 == 0, F.concat("id", F.lit("'"))).otherwise(F.col("id")).alias("id"), F.col("stableId"), "root")
+    return D.diff_collection(mods.select("id", "stableId", "root"), after, F.coalesce("stableId", "root", "id"), leave_out=["stableId"]).select("key", "change")
+
+
+def _two_sides(spark, d):
+    out = []
+    for s in _sides(spark, d):
+        e = E.module_edges(trade.owned(spark, d, s))
+        w = Window.partitionBy("from").orderBy(F.desc("imports"), "to")
+        out.append(G.cycles(e.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")))
+    return out
+
+
+def _scc(name: str, where: str) -> str:
+    return f"""e_{name} AS (SELECT fromModule AS a, toModule AS b, count(*) AS n FROM owned WHERE resolution = 'internal' AND fromModule <> toModule AND {where} GROUP BY ALL),
+t_{name} AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM e_{name}) WHERE k = 1),
+reach_{name} AS (SELECT a, b FROM t_{name} UNION SELECT r.a, t.b FROM reach_{name} r JOIN t_{name} t ON r.b = t.a),
+c_{name} AS (SELECT x.a AS module, least(x.a, min(x.b)) AS component FROM reach_{name} x JOIN reach_{name} y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+g_{name} AS (SELECT string_agg('src/' || split_part(root, '/', 2) || '/' || split_part(root, '/', 3), ',' ORDER BY root) AS members FROM c_{name} JOIN mods ON id = module GROUP BY component HAVING count(*) > 1)"""
+
+
+@query(", " + _scc("b", _BASE) + ", " + _scc("n", _NOW) + " SELECT coalesce(b.members, n.members) AS key, CASE WHEN b.members IS NULL THEN 'added' ELSE 'removed' END AS change FROM g_b b FULL JOIN g_n n ON b.members = n.members WHERE b.members IS NULL OR n.members IS NULL")
+def cycle_diff_stable_key(spark, d):
+    mods = trade.modules(spark, d)
+    a, b = (D.with_cycle_key(c.drop("snapshot_id", "provenance", "edgeIds"), mods) for c in _two_sides(spark, d))
+    return D.diff_collection(a, b, "key").where("change <> 'changed'").select(F.translate("key", "\0", ",").alias("key"), "change")
