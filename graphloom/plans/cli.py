@@ -93,7 +93,7 @@ def _compare(spark: SparkSession, a: Arguments) -> tuple[str, int]:
         output = render.pretty(diff) if a.json else render.diff_text(diff) + "\n"
     if a.out:
         Path(a.out).write_text(output if a.sarif else render.pretty(diff), "utf-8")
-    policy = a.fail_on or (["all"] if a.check else current["policy"]["failOn"])
+    policy = a.fail_on if a.fail_on is not None else ["all"] if a.check else current["policy"]["failOn"]
     failed = (a.check or a.fail_on is not None) and _selected(spark, diff["introducedViolations"], policy)
     return output, int(failed)
 
