@@ -1,6 +1,6 @@
 """The declarative rule language, compiled to column expressions.
 
-Each of the four collections is scanned once: all its rules' findings are built in one array and exploded.
+Each of the four collections is scanned once for all its rules (forbidden dependencies together with the imports).
 """
 
 from __future__ import annotations
@@ -226,8 +226,8 @@ def _data(fields: dict[str, str], spec: dict | None) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
-def finding(fields: dict[str, str], rule: dict) -> Column:
-    """The finding that a rule makes of a record."""
+def finding_parts(fields: dict[str, str], rule: dict) -> dict[str, Column]:
+    """Columns of the finding that a rule makes of a record, without its provenance."""
     spec = rule["finding"]
 
     def ref(name: str, kind: str, cast: str) -> Column:
@@ -240,11 +240,35 @@ def finding(fields: dict[str, str], rule: dict) -> Column:
         listed = F.filter(related, lambda x: x.isNotNull())
     elif related in fields and fields[related] == "string":
         listed = F.when(F.col(related).isNotNull(), F.array(related))
-    return F.struct(
-        F.lit(rule["code"]).alias("code"), F.lit(spec["category"]).alias("category"), F.lit(spec["level"]).alias("level"), message(fields, spec["message"]).alias("message"),
-        ref("file", "string", "string").alias("file"), ref("line", "number", "int").alias("line"), listed.alias("related"), _data(fields, spec.get("data")).alias("data"),
-        E.provenance("derived", "architecture-rules", rule=F.lit(rule["code"]), evidence=F.when(F.size("__evidence") > 0, F.col("__evidence")), derived=F.when(F.size("__derived") > 0, F.col("__derived"))).alias("provenance"),
-    )
+    return {
+        "code": F.lit(rule["code"]), "category": F.lit(spec["category"]), "level": F.lit(spec["level"]), "message": message(fields, spec["message"]),
+        "file": ref("file", "string", "string"), "line": ref("line", "number", "int"), "related": listed, "data": _data(fields, spec.get("data")),
+    }
+
+
+def _provenance(code: Column) -> Column:
+    evidence, derived = (F.when(F.size(c) > 0, F.col(c)) for c in ("__evidence", "__derived"))
+    return E.provenance("derived", "architecture-rules", rule=code, evidence=evidence, derived=derived).alias("provenance")
+
+
+def findings_of(records: DataFrame, rules: list[tuple[dict, Column | None]]) -> DataFrame:
+    """Findings of one collection's rules, each with how often a match counts (None: once).
+
+    The numbers of the rules that a record matches are exploded, and a finding's columns chosen by number afterwards:
+    one scan, all in generated code, and a column that nobody reads is not made.
+    """
+    hits = []
+    for k, (r, times) in enumerate(rules):
+        fields = FIELDS[r["source"]]
+        hit = functools.reduce(operator.and_, [condition(fields, c) for c in r.get("where", [])], F.lit(True))
+        number = F.when(hit, k)
+        hits.append(F.array(number) if times is None else F.array_repeat(number, times))
+    matched = records.withColumn("__rule", F.explode(F.concat(*hits))).where("__rule IS NOT NULL")
+    parts = [finding_parts(FIELDS[r["source"]], r) for r, _ in rules]
+    chosen = {}
+    for name in parts[0]:
+        chosen[name] = functools.reduce(lambda c, k: c.when(F.col("__rule") == k, parts[k][name]), range(1, len(parts)), F.when(F.col("__rule") == 0, parts[0][name]))
+    return matched.select(BY, *[c.alias(name) for name, c in chosen.items()], _provenance(chosen["code"]))
 
 
 # ---------------------------------------------------------------- records
@@ -332,20 +356,15 @@ def evaluate(registry: Registry, context: Context) -> DataFrame:
     """Findings of all rules whose flag is set: snapshot_id, code, category, level, message, file, line, related, data, provenance."""
     if missing := [f for f in registry.required_facts if f not in context.collections]:
         raise ValueError(f"Rule registry requires unavailable facts: {', '.join(missing)}.")
-    parts, built = [], {}
+    built: dict[str, list] = {}
     for r in registry.rules:
         if not r.get("enabledBy") or context.flags.get(r["enabledBy"]) is True:
-            fields = FIELDS[r["source"]]
-            hit = functools.reduce(operator.and_, [condition(fields, c) for c in r.get("where", [])], F.lit(True))
-            made = F.when(hit, finding(fields, r))
             joint = r["source"] == "forbiddenDependencies" and context.forbidden is not None and "imports" in context.collections
-            built.setdefault("imports" if joint else r["source"], []).append(F.array_repeat(made, context.forbidden) if joint else F.array(made))
-    for source, made in sorted(built.items()):
-        parts.append(context.collections[source].select(BY, F.explode(F.array_compact(F.concat(*made))).alias("f")).select(BY, "f.*"))
-    if not parts:
-        rule = {"code": "", "finding": {"category": "", "level": "", "message": ""}}
-        return context.collections["cycles"].select(BY, finding({}, rule).alias("f")).where("false").select(BY, "f.*")
-    return functools.reduce(DataFrame.unionByName, parts)
+            built.setdefault("imports" if joint else r["source"], []).append((r, context.forbidden if joint else None))
+    if not built:  # no rule is left: an empty table of the usual columns
+        rule = {"code": "", "source": "cycles", "finding": {"category": "", "level": "", "message": ""}}
+        return findings_of(context.collections["cycles"].where("false"), [(rule, None)])
+    return functools.reduce(DataFrame.unionByName, [findings_of(context.collections[source], rules) for source, rules in sorted(built.items())])
 
 
 def evaluate_rules(config: dict, owned: DataFrame, modules: DataFrame, cycles: DataFrame, selection=None) -> DataFrame:

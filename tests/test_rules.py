@@ -51,13 +51,16 @@ def test_message(rows):
     assert got == ["$abc|5|true|a||{s}", "$|0|false|||{s}", "$|||||{s}"]
 
 
-def test_finding_parts(rows):
+def test_finding_parts(rows, monkeypatch):
+    monkeypatch.setitem(R.FIELDS, "imports", FIELDS)
     rule = {"code": "x", "source": "imports", "finding": {"category": "violation", "level": "error", "message": "m", "file": {"field": "n"}, "line": {"field": "n"}, "related": {"field": "s"}, "data": {"q": {"field": "s"}, "l": {"field": "a"}, "z": {"field": "nope"}}}}
-    df = rows.withColumns({"__derived": F.array(F.lit("e")), "__evidence": F.array().cast("array<struct<kind:string,id:string,file:string,line:int>>")})
-    got = [r[0] for r in df.select(R.finding(FIELDS, rule)).collect()]
-    assert [g["file"] for g in got] == [None] * 3 and [g["line"] for g in got] == [5, 0, None] and [g["related"] for g in got] == [["abc"], [""], None]
-    assert [g["data"] for g in got] == [{"q": '"abc"', "l": '["a"]'}, {"q": '""', "l": "[]"}, {}]
-    assert got[0]["provenance"]["derivedFrom"] == ["e"] and got[0]["provenance"]["evidence"] is None
+    other = {"code": "y", "source": "imports", "where": [{"field": "b", "operator": "truthy"}], "finding": {"category": "observation", "level": "info", "message": "${a}", "related": {"field": "a"}}}
+    df = rows.withColumns({"snapshot_id": F.lit("k"), "__derived": F.array(F.lit("e")), "__evidence": F.array().cast("array<struct<kind:string,id:string,file:string,line:int>>")})
+    found = R.findings_of(df, [(rule, None), (other, F.lit(2))]).collect()
+    got = sorted((r for r in found if r["code"] == "x"), key=lambda r: str(r["line"]))
+    assert [g["file"] for g in got] == [None] * 3 and [(g["line"], g["related"], g["data"]) for g in got] == [(0, [""], {"q": '""', "l": "[]"}), (5, ["abc"], {"q": '"abc"', "l": '["a"]'}), (None, None, {})]
+    assert got[0]["provenance"]["derivedFrom"] == ["e"] and got[0]["provenance"]["evidence"] is None and got[0]["provenance"]["rule"] == "x"
+    assert [(r["message"], r["related"], r["data"]) for r in found if r["code"] == "y"] == [("a", ["a"], None)] * 2
 
 
 def _spec(code="own/a", source="imports", **more):
