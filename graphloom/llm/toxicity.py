@@ -97,7 +97,7 @@ class Model:
         return self.bias + np.bincount(doc, self.weights[np.searchsorted(self.features, f)], len(texts))
 
 
-def train(rows: list[tuple], y: np.ndarray, swapped: list[tuple], most: int = 2048, penalty: float = 1.0, l2: float = 3e-4, steps: int = 400) -> Model:
+def train(rows: list[tuple], y: np.ndarray, swapped: list[tuple], most: int = 2048, penalty: float = 1.0, l2: float = 1e-5, steps: int = 400) -> Model:
     """Logistic regression over the ``most`` features of strongest evidence that three rows or more have.
 
     rows: features of each row (sorted arrays).  swapped: ``(row, features)`` of rows with their identity terms
