@@ -60,7 +60,7 @@ class Tree:
 
     Two fingerprints within ``2r+1`` bits are within ``r`` in one of their halves, so a search of radius r in a tree over
     either half finds all.  A smaller radius crosses fewer boundaries: at 32 bits and r=1 a query follows both
-    branches about a third of the time, at 64 bits and r=3 more than half of the time.
+    branches a little over a quarter of the time, at 64 bits and r=3 more than half of the time.
     """
 
     def __init__(self, sample: np.ndarray, depth: int, seed: int):
