@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import globs, paths
 from . import schemas
 
+# Name of the configuration file, extensions, folders left out.
 CONFIG_NAME = "arch.config.json"
 TS, JS = (".ts", ".tsx", ".mts", ".cts"), (".js", ".jsx", ".mjs", ".cjs")
 OUTSIDE = ("node_modules", "bower_components", "jspm_packages")
