@@ -201,10 +201,14 @@ def _described(images: DataFrame) -> DataFrame:
 
 
 def _blocks(asked: DataFrame, block: int):
-    """The described queries as indexes of about ``block`` images each, by hash of the id; broadcast one by one."""
+    """The described queries as indexes of about ``block`` images each, broadcast one by one.
+
+    Blocks go by a hash of a row's place in the checkpoint, so that repeats of one id don't meet in one block.
+    """
     sc, parts = asked.sparkSession.sparkContext, max(1, -(-asked.count() // block))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
     for k in range(parts):
-        own = sorted((r[0], bytes(r[1])) for r in asked.where(F.pmod(F.xxhash64("media_id"), F.lit(parts)) == k).collect())
+        own = sorted((r[0], bytes(r[1])) for r in dealt.where(F.col("part") == k).collect())
         yield sc.broadcast(Index([i for i, _ in own], [np.frombuffer(d, POINT) for _, d in own]))
 
 
@@ -220,7 +224,7 @@ def find_copies(media: DataFrame, queries: DataFrame, differ: int = 56, inliers:
     256 bits and share a key of one of eight tables.  Images that are null, can't be decoded or are too small for
     a corner match nothing, as do null ids; repeated rows match each on its own; empty inputs give no rows.
 
-    Queries are taken in blocks of about ``block`` images (by hash of the id), whose tables have a few MB and go to all
+    Queries are taken in blocks of about ``block`` images, whose tables have a few MB and go to all
     tasks; an image meets a block with all its descriptors in one place, so there is no shuffle, and no pair leaves a
     task before it is confirmed.
     """
