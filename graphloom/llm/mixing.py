@@ -13,6 +13,12 @@ from . import common
 
 #: At most so many times may a document be used.
 MOST_TIMES = 3
+#: Tables of so many sources at most are broadcast; larger ones are shuffled.
+FEW = 100_000
+
+
+def few(sources: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(sources) if n <= FEW else sources
 
 
 def targets(sizes: list[int], weights: list[float], total: float | None = None, most: float = MOST_TIMES) -> list[float]:
@@ -82,7 +88,7 @@ def schedule(spark: SparkSession, plan: list[dict], slots: int, block: int) -> D
     needs = spark.createDataFrame([(i, int(p["words"]), int(p["size"]), _ranks(p["words"], p["size"], block)) for i, p in enumerate(plan)], "source_no int, wanted long, size long, due long")
     had = needs.join(counts.groupBy("source_no").agg(F.sum("n").alias("had")), "source_no", "left").withColumn("had", F.coalesce("had", F.lit(0)))
     late = had.where("had < due").select("source_no", F.explode(F.sequence("had", F.col("due") - 1)).alias("rank")).select(F.lit(None).cast("long").alias("slot"), "source_no", "rank")
-    all_ranks = ranked.select("slot", "source_no", "rank").unionByName(late).join(F.broadcast(needs), "source_no").where("rank < due")
+    all_ranks = ranked.select("slot", "source_no", "rank").unionByName(late).join(few(needs, len(plan)), "source_no").where("rank < due")
     blocks = F.expr(f"(size + {block} - 1) div {block}")
     out = all_ranks.withColumn("pass", F.expr(f"rank div ((size + {block} - 1) div {block})")).withColumn("block", F.col("rank") % blocks)
     words = F.least(F.lit(block), F.col("size") - F.col("block") * block, F.col("wanted") - F.col("pass") * F.col("size") - F.col("block") * block)
@@ -125,7 +131,7 @@ def mix(docs: DataFrame, weights: list[float] | None = None, slots: int = 65_536
     block = min(most_block, max(1, total // slots))
     due = schedule(spark, plan, -(-total // block), block)
     info = spark.createDataFrame([(i, p["source"], p["size"], float(p["target"]), min(65_536, -(-p["rows"] // 2000))) for i, p in enumerate(plan)], "source_no int, __source string, source_size long, target double, parts long")
-    named = rows.join(F.broadcast(info), F.expr("source <=> __source")).drop("__source")
+    named = rows.join(few(info, len(plan)), F.expr("source <=> __source")).drop("__source")
     placed = common.checkpoint(offsets(named.where("size > 0"), ["source_no"], "parts", ["h", "doc_id", "size"], "size"))
     pieces = placed.select("source_no", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     uses = due.groupBy("source_no", "block", "words").agg(F.count("*").alias("times"))
