@@ -69,4 +69,4 @@ TEMPLATES = [
 ]
 
 #: A block is a candidate if one of its pieces holds one of these (in lower case).
-CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "spdx", "public domain", "merchantab", "creative commons")
+CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "spdx", "public domain", "merchantab", "creative commons", "released under")
