@@ -21,8 +21,8 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near copies, once; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """The document of smallest id of each class of near copies (similarity of five-word sets >= 0.8), once; documents without an id stay."""
+    found = simhash.similar_documents(docs)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     one = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"))
     one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("text"))).where("__n = 1").select(*docs.columns)

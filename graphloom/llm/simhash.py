@@ -1,7 +1,9 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked by sharded vantage-point trees."""
+"""Near-duplicates by word shingles, linked by sharded vantage-point trees: SimHash fingerprints, or exact Jaccard similarity."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,9 +93,11 @@ class Tree:
         return row, node - (2**self.depth - 1), own
 
 
-def near(full: np.ndarray, half: np.ndarray, own: np.ndarray, r: int, bits: int, forest: common.Forest, rng, leaf: int = 256) -> None:
+def near(full: np.ndarray, half: np.ndarray, own: np.ndarray, r: int, bits: int, forest: common.Forest, rng, leaf: int = 256, also=None) -> None:
     """Link all pairs of one shard within ``bits`` bits of which one is its own: a vantage-point search in memory.
 
+    ``also`` tells of arrays of such pairs which ones count.
+
     Goes down the tree with members and queries at once.  Where half fingerprints no longer divide the members, whole
     ones do with the whole radius; where neither does, blocks are compared.
     """
@@ -107,7 +111,11 @@ def near(full: np.ndarray, half: np.ndarray, own: np.ndarray, r: int, bits: int,
                 for j in range(0, len(members), 4096):
                     q, m = queries[i : i + 1024], members[j : j + 4096]
                     a, b = np.nonzero(np.bitwise_count(full[q][:, None] ^ full[m][None, :]) <= bits)
-                    forest.link(q[a], m[b])
+                    a, b = q[a], m[b]
+                    if also:
+                        keep = also(a, b)
+                        a, b = a[keep], b[keep]
+                    forest.link(a, b)
             continue
         space, radius = (half, r) if failed < 3 else (full, bits)
         point = space[members[rng.integers(len(members))]]
@@ -166,5 +174,149 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return own.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of runs of ``words`` words; fewer words are one run, null and blank texts have none."""
+    import xxhash
+
+    found, digest = (text or "").encode().lower().split(), xxhash.xxh64_digest
+    runs = [b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))] if found else []
+    return np.unique(np.frombuffer(b"".join([digest(x, 42) for x in runs]), np.uint64))
+
+
+def plan_parts(similarity: float, miss: float = 1e-6) -> tuple[int, int]:
+    """``(fingerprints, differ)``: a pair of that similarity has no equal half fingerprint, or more than ``differ`` other bits, with a chance of ``miss`` each at most.
+
+    A half has the bytes of 4 smallest hashes, so it is equal with a chance of at least similarity^4; of the 8 other bits
+    a fingerprint, each differs with a chance of (1-similarity)/2.
+    """
+    parts = max(1, math.ceil(math.log(miss) / math.log1p(-(similarity**4)) / 2)) if 0 < similarity < 1 else 1
+    n, p = 8 * parts, (1 - similarity) / 2
+    tail, k = 1.0, -1
+    while tail > miss / 10 and k < n:
+        k += 1
+        tail -= math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return parts, k
+
+
+def sketch(own: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``parts`` fingerprints (64 bits: bytes of the smallest shingle under 8 orders each) and as many times 8 other bits of them."""
+    rng = np.random.default_rng(17)
+    salt, factor = rng.integers(0, 2**63, (2, 8 * parts, 1), dtype=np.uint64)
+    least = np.full(8 * parts, 2**64 - 1, np.uint64)
+    for k in range(0, len(own), 8192):
+        np.minimum(least, ((own[k : k + 8192] ^ salt) * (factor | np.uint64(1))).min(1), out=least)
+    least = common.mixed(least)
+    return (least & np.uint64(255)).astype(np.uint8).view(np.uint64), np.packbits(((least >> np.uint64(8)) & np.uint64(1)).astype(np.uint8))
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Smallest member of each set's class, where pairs of at least that Jaccard similarity link: a search that meets linked sets no more."""
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    root, mark = np.arange(len(sets)), np.zeros(len(code), bool)
+    left = np.arange(len(sets))
+    flat = code
+    queue: list[int] = []
+    while len(left):
+        if not queue:
+            queue, flat, left = [int(left[0])], flat[size[left[0]] :], left[1:]
+            continue
+        x = queue.pop()
+        own = code[start[x] : start[x] + size[x]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(size[left]) - size[left])
+        mark[own] = False
+        close = shared / (size[x] + size[left] - shared) >= similarity
+        if close.any():
+            root[left[close]] = root[x]
+            queue += left[close].tolist()
+            flat, left = flat[np.repeat(~close, size[left])], left[~close]
+    return root
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 1024, leaf_rows: int = 20_000, sample_rows: int = 200_000, max_depth: int = 16) -> DataFrame:
+    """``(doc_id, component_id)`` for the ids of ``docs(doc_id, text, ...)``, one row each.
+
+    Documents link if the Jaccard similarity of their sets of ``words`` words is at least ``similarity``, chains included;
+    component_id is the smallest doc_id of the class.  Null, empty and blank texts are copies of each other.  Rows of
+    one id count as one document; null ids are left out.
+
+    Every document has several fingerprints, each of other parts of its shingles; halves of them are searched by
+    vantage-point trees within one bit, so that a pair at the threshold is missed with a chance of 1e-6 (``plan_parts``).
+    What meets is a candidate; classes of candidates are compared by their whole shingle sets.  Classes of more
+    than ``block`` documents are dealt as pairs of blocks; nothing is dropped from a class.
+    """
+    parts, differ = plan_parts(similarity)
+    spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+
+    def keyed(whole):
+        import xxhash
+
+        def run(batches):
+            for b in batches:
+                ids, keys, out, more = b.column(0), [], [], []
+                for text in b.column(1).to_pylist():
+                    own = shingles(text, words)
+                    keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    a, c = (own, None) if whole or not len(own) else sketch(own, parts)
+                    out.append(a.tobytes())
+                    more.append(c is not None and c.tobytes() or b"")
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(out, pa.binary()), pa.array(more, pa.binary())], names=["doc_id", "key", "data", "bits"])
+
+        return run
+
+    schema = "doc_id long, key binary, data binary, bits binary"
+    own = common.checkpoint(spread.mapInArrow(keyed(False), schema))
+    reps = common.checkpoint(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("data").alias("data"), F.first("bits").alias("bits")))
+    full = reps.where("length(data) > 0")
+    n = full.count()
+    depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows)))))
+    every = max(1, -(-n // max(1, min(sample_rows, 64 * 2**depth))))
+    sample = [bytes(x[0]) for x in full.where(F.expr(f"pmod(xxhash64(key, 'sample'), {every}) = 0")).select("data").limit(sample_rows).collect()] if depth else []
+    sample = np.frombuffer(b"".join(sample), np.uint32).reshape(-1, 2 * parts)
+    trees = [Tree(sample[:, k], depth, 7 + k) for k in range(2 * parts)]
+
+    def shards(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            halves = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1)
+            for k, tree in enumerate(trees):
+                row, leaf, mine = tree.leaves(halves[:, k], 1)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(halves[row, k].astype(np.int64)), b.column(0).take(at), b.column(2).take(at), pa.array(mine)], names=["tree", "shard", "half", "rep", "bits", "own"])
+
+    def stars(pdf):
+        half, rep = pdf["half"].to_numpy().astype(np.uint32), pdf["rep"].to_numpy()
+        bits = np.frombuffer(b"".join(x.ljust(-(-parts // 8) * 8, b"\0") for x in pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+        forest = common.Forest(len(pdf))
+        near(half, half, pdf["own"].to_numpy(), 1, 1, forest, np.random.default_rng(3), also=lambda a, b: np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= differ)
+        child = np.flatnonzero(forest.root != np.arange(len(pdf)))
+        return type(pdf)({"a": rep[child], "b": rep[forest.root[child]]})
+
+    dealt = full.select("rep", "data", "bits").mapInArrow(shards, "tree int, shard int, half long, rep long, bits binary, own boolean")
+    met = common.connected_components(dealt.groupBy("tree", "shard").applyInPandas(stars, "a long, b long"))
+    met = common.checkpoint(met.select(F.col("node").alias("rep"), F.col("component_id").alias("c")))
+    many = met.groupBy("c").count().select("c", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    wanted = full.select("key", "rep").join(met, "rep").join(many, "c")
+    sets = spread.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(keyed(True), schema)
+    sets = sets.select("key", F.col("doc_id").alias("rep"), "data").dropDuplicates(["key", "rep"]).join(wanted, ["key", "rep"])
+    mine = F.pmod(F.xxhash64("rep"), "parts").cast("int")
+    sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sets = sets.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "data")
+
+    def confirm(pdf):
+        rep, root = pdf["rep"].to_numpy(), similar([np.frombuffer(x, np.uint64) for x in pdf["data"]], similarity)
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return type(pdf)({"a": rep[child], "b": rep[root[child]]})
+
+    links = sets.groupBy("c", "i", "j").applyInPandas(confirm, "a long, b long")
+    same = own.join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    groups = common.connected_components(links.unionByName(same))
+    ids = own.select("doc_id").distinct()
+    return ids.join(groups, ids.doc_id == groups.node, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
