@@ -143,6 +143,7 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = 32_768, overlap
     overlapping chunks, which are dealt to all tasks and pre-tokenised there; their boundaries and texts then meet by
     row, in order, and are stitched and encoded as a stream, so no task holds more than two chunks of a text.
     A null text counts as empty: no ids, and the hashes of nothing.  Repeated rows and null ids stay as they are.
+    Other columns, whatever their names, are not read; an empty table gives an empty result.
     """
     schema, made = OUTPUTS[output]
     names, types = zip(*[(x.split()[0], ARROW[x.split()[1]]) for x in schema.split(", ")])
@@ -205,10 +206,11 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = 32_768, overlap
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text") > size, F.lit(False))
-    pieces = texts.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, "row long, doc_id long, k int, begin long, piece string")
+    pieces = texts.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    pieces = common.mapped(pieces, cut, "row long, doc_id long, k int, begin long, piece string")
     scanned = pieces.repartition("row", "k").mapInArrow(scan, "row long, doc_id long, k int, begin long, piece string, marks array<long>")
     stitched = scanned.repartition("row").sortWithinPartitions("row", "k").mapInArrow(stitch, schema)
-    return texts.where(~long).mapInArrow(short, schema).unionByName(stitched)
+    return common.mapped(texts.where(~long), short, schema).unionByName(stitched)
 
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import ship
+from ..plans.session import checkpoint, shared_folder, ship  # noqa: F401
 
 #: The six characters [\x20\x09-\x0D].
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -18,19 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow``, after this package has been sent to the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the application's checkpoint folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest node reachable, for every node of ``edges``: ``(node long, component_id long)``.
+    """Smallest node reachable, for every node of ``edges``: ``(node, component_id)``; nodes are longs or binary.
 
     Alternating large-star and small-star rounds.  A round only takes minima per node (combined map-side) and joins
     them back, so that a node with a third of all links is split by AQE's skew join; nothing reaches the driver but
@@ -151,10 +165,28 @@ def blocks(texts: list[bytes], most: int = 1_000_000):
 
 
 def summed(parts: DataFrame) -> DataFrame:
-    """Add float32 vectors ``value`` (binary) of equal ``block``."""
+    """Add float32 vectors ``value`` (binary) of equal ``block``: first by task, then by block.
 
-    def add(pdf):
-        total = sum(np.frombuffer(v, np.float32).astype(np.float64) for v in pdf["value"])
-        return pdf.iloc[:1].assign(value=[total.astype(np.float32).tobytes()])
+    What a task has made goes to one of the shuffle's partitions as a whole; each adds up as a stream what it is dealt, so
+    that a block then meets as many parts as there are partitions, however many tasks there were.
+    """
 
-    return parts.groupBy("block").applyInPandas(add, "block int, value binary")
+    def numbered(batches):
+        task = TaskContext.get().partitionId()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task, np.int32))], names=["block", "value", "task"])
+
+    def add(batches):
+        total = {}
+        for b in batches:
+            for block, value in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(value.as_buffer(), np.float32)
+                if block in total:
+                    total[block] += x
+                else:
+                    total[block] = x.astype(np.float64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["block", "value"])
+
+    by_task = mapped(parts, numbered, "block int, value binary, task int").repartition("task").select("block", "value").mapInArrow(add, "block int, value binary")
+    return by_task.repartition("block").mapInArrow(add, "block int, value binary")

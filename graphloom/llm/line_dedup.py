@@ -31,11 +31,11 @@ def shared_lines(docs: DataFrame, min_docs: int) -> DataFrame:
                 keys += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids.take(pa.array(rows, pa.int64()))], names=["key", "doc_id"])
 
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(explode, "key binary, doc_id long")
+    lines = common.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), explode, "key binary, doc_id long")
     return lines.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key")
 
 
-def drop_shared_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+def drop_shared_lines(docs: DataFrame, min_docs: int = 10, counts: bool = True) -> DataFrame:
     """Rows of ``docs`` (all its columns) with ``text`` rebuilt from the lines kept, plus ``n_lines`` and ``n_dropped``.
 
     A null or empty text is one empty line, kept; a null text becomes an empty one.  A line's key is the line without
@@ -43,10 +43,12 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     doc_id (null ids as one document), so that repeated rows neither add up nor merge.  A text whose lines all go
     becomes empty.
     The shared keys meet the lines, not the texts: hot lines are split by AQE, and every text moves once, to the list
-    of its document's shared keys.  Columns n_lines and n_dropped of the input are replaced.
+    of its document's shared keys.  Columns n_lines and n_dropped of the input are replaced, or stay if ``counts`` is
+    false, where no columns are added.  An empty table gives an empty one; a text of any length is taken whole by one task.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped") if counts else docs
     names = docs.columns
+    own_id, list_of_gone = common.unused(docs, "__id", "__gone")
     shared = common.checkpoint(shared_lines(docs, min_docs))
 
     def explode(batches):
@@ -57,9 +59,11 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 
     lines = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(explode, "key binary, id long")
     gone = lines.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("gone"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    gone = gone.select(F.col("id").alias(own_id), F.col("gone").alias(list_of_gone))
+    met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)), "left")
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema])
+    if counts:
+        schema = schema.add("n_lines", "long").add("n_dropped", "long")
     at = names.index("text")
 
     def rebuild(batches):
@@ -77,9 +81,10 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
                     dropped.append(0)
                 texts.append(text)
             columns = [b.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            columns += [pa.array(total, pa.int64()), pa.array(dropped, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return met.select(*names, "__gone").mapInArrow(rebuild, schema)
+    return met.select(*names, list_of_gone).mapInArrow(rebuild, schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

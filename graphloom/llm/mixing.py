@@ -80,7 +80,7 @@ def schedule(spark: SparkSession, plan: list[dict], slots: int, block: int) -> D
             s = np.minimum(np.searchsorted(edges, radical_inverse(n), side="right"), len(edges) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.astype(np.int32)), pa.array(n // spread)], names=["slot", "source_no", "chunk"])
 
-    drawn = spark.range(slots if len(plan) else 0).mapInArrow(points, "slot long, source_no int, chunk long")
+    drawn = common.mapped(spark.range(slots if len(plan) else 0), points, "slot long, source_no int, chunk long")
     counts = drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -100,30 +100,29 @@ def _ranks(words: int, size: int, block: int) -> int:
     return (words // size) * -(-size // block) + -(-(words % size) // block) if size else 0
 
 
-def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """Rows of ``docs`` with their ``size`` in words and their place ``h``."""
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return shuffled(docs, seed).withColumn("size", words)
-
+def places(docs: DataFrame, by: list[str], seed: int = 17) -> list:
+    """Two hashes of a row over the columns ``by``: the first is its place in the shuffled order, both name it."""
+    own = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if f.name in by]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in own])  # the hash passes over nulls
+    return [F.xxhash64(*own, nulls, F.lit(seed)), F.xxhash64(F.lit(seed), nulls, *own)]
 
-def shuffled(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """Rows of ``docs`` with their place ``h`` in the shuffled order: only identical rows share one."""
-    return docs.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed)))
 
-
-def mix(docs: DataFrame, weights: list[float] | None = None, slots: int = 65_536, most_block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """``(documents, schedule)``: ``(h, doc_id, source, size, source_size, target, taken)`` for every row, and the slots.
+def mix(docs: DataFrame, weights: list[float] | None = None, slots: int = 65_536, most_block: int = 4096, by: tuple[str, ...] = ("doc_id", "source", "text")) -> tuple[DataFrame, DataFrame]:
+    """``(documents, schedule)``: ``(h, g, doc_id, source, size, source_size, target, taken)`` for every row, and the slots.
 
     Sizes are counts of ``[^\\x20\\x09-\\x0D]+`` (null text: 0).  Sources in order of code points, null last, have the
     weights in turn (1, 2, 3).  ``taken`` counts the words the mix takes of a document, repeats included, and is at
     most 3 times its size; a source takes its target to the word (rounded down).  Documents are shuffled by a hash of
-    id and text, so reruns agree; repeated rows are mixed like different ones, each with its own place.  Empty texts
-    have size and taken 0; an empty table gives an empty result; other columns are ignored here.
+    the columns ``by``, so reruns agree, in whatever order the rows come; repeated rows are mixed like different ones.
+    Empty texts have size and taken 0, texts of any length are counted whole; an empty table gives an empty result;
+    other columns are ignored here.
     The list of sources (name, size) is held on the driver: it grows with the number of sources, not of documents.  A
     block has about 1/65,536 of all words, 1 at least and 4,096 at most; for larger inputs there are more slots.
     """
     spark, weights = docs.sparkSession, weights or [1, 2, 3]
-    rows = common.checkpoint(sized(docs).select("h", F.col("doc_id"), F.col("source").cast("string").alias("source"), "size"))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    h, g = places(docs, list(by))
+    rows = common.checkpoint(docs.select(h.alias("h"), g.alias("g"), "doc_id", F.col("source").cast("string").alias("source"), words.alias("size")))
     found = sorted(((r[0], int(r[1] or 0), r[2]) for r in rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     own = targets([x[1] for x in found], [weights[i % len(weights)] for i in range(len(found))])
     plan = [{"source": s, "size": n, "rows": k, "target": t, "words": min(int(t + 1e-6), MOST_TIMES * n)} for (s, n, k), t in zip(found, own)]
@@ -132,31 +131,39 @@ def mix(docs: DataFrame, weights: list[float] | None = None, slots: int = 65_536
     due = schedule(spark, plan, -(-total // block), block)
     info = spark.createDataFrame([(i, p["source"], p["size"], float(p["target"]), min(65_536, -(-p["rows"] // 2000))) for i, p in enumerate(plan)], "source_no int, __source string, source_size long, target double, parts long")
     named = rows.join(few(info, len(plan)), F.expr("source <=> __source")).drop("__source")
-    placed = common.checkpoint(offsets(named.where("size > 0"), ["source_no"], "parts", ["h", "doc_id", "size"], "size"))
+    placed = common.checkpoint(offsets(named.where("size > 0"), ["source_no"], "parts", ["h", "g", "size"], "size"))
     pieces = placed.select("source_no", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     uses = due.groupBy("source_no", "block", "words").agg(F.count("*").alias("times"))
     begin, end = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     taken = pieces.join(uses, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.greatest(end - begin, F.lit(0)) * F.col("times")).alias("taken"))
     used = placed.join(taken, ["source_no", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     empty = named.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = ["h", "doc_id", "source", "size", "source_size", "target", "taken"]
+    out = ["h", "g", "doc_id", "source", "size", "source_size", "target", "taken"]
     return used.select(*out).unionByName(empty.select(*out)), due
 
 
-def apply_mix(docs: DataFrame) -> DataFrame:
+def apply_mix(docs: DataFrame, chunk: int = 1000) -> DataFrame:
     """``docs`` as mixed, with its own columns: each row as many times as the mix takes it, to the nearest whole time.
 
     Only the last document that a source takes in its last pass can be cut by its target; all others are taken whole.
+    Rows that are equal in all columns are interchangeable: what is taken of them is summed, each stays the whole part
+    of an equal share of it, and the rest are further copies of one, made in chunks of ``chunk`` by many tasks.  So no task
+    gathers or orders equal rows, and reruns agree.  Empty texts are never taken; an empty table gives an empty one;
+    columns may have any names.
     """
-    taken, _ = mix(docs)
     names = docs.columns
-    kept = F.expr("int(round(taken / size))")
-    taken = taken.where("size > 0").select(F.col("h").alias("__h"), kept.alias("__times"), F.row_number().over(Window.partitionBy("h").orderBy("taken")).alias("__k"))
-    rows = shuffled(docs.select(F.struct(*names).alias("__row"), "doc_id", "text")).drop("doc_id", "text")
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("h").orderBy("h")))
-    # The ranks are compared as a range: h alone is the key then, by which the texts lie already.
-    met = rows.join(taken.where("__times > 0"), (rows["h"] == taken["__h"]) & rows["__k"].between(taken["__k"], taken["__k"]))
-    return met.select("__row", F.explode(F.sequence(F.lit(1), "__times"))).select("__row.*")
+    taken, _ = mix(docs, by=tuple(names))
+    times = F.expr("bigint(round(taken / size))")
+    h, g, whole, more = common.unused(docs, "__h", "__g", "__times", "__more")
+    due = taken.where("size > 0").groupBy("h", "g").agg(F.count("*").alias("n"), F.sum(times).alias("t")).where("t > 0")
+    due = common.checkpoint(due.select(F.col("h").alias(h), F.col("g").alias(g), F.expr("t div n").alias(whole), F.expr("t % n").alias(more)))
+    rows = docs.withColumns(dict(zip((h, g), places(docs, names))))
+    each = rows.join(due.where(F.col(whole) > 0).select(h, g, whole), [h, g])
+    each = each.withColumn(whole, F.explode(F.sequence(F.lit(1), F.col(whole)))).select(*names)
+    first = rows.join(due.where(F.col(more) > 0).select(h, g, more), [h, g]).groupBy(h, g, more).agg(F.first(F.struct(*[f"`{c}`" for c in names])).alias("row"))
+    first = first.select("row", F.col(more).alias("more"), F.explode(F.expr(f"sequence(0, (`{more}` - 1) div {chunk})")).alias("k"))
+    first = first.repartition("k", F.xxhash64("k", "more", F.col("row")[names[0]])).select("row", F.explode(F.expr(f"sequence(1, least({chunk}, more - k * {chunk}))")))
+    return each.unionByName(first.select("row.*"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def word_vectors(docs: DataFrame, buckets: int = 16_384, dims: int = 32, window:
         size = buckets * dims // BLOCKS
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([total[k * size : (k + 1) * size].astype(np.float32).tobytes() for k in range(BLOCKS)], pa.binary())], names=["block", "value"])
 
-    parts = common.summed(docs.select("text").mapInArrow(run, "block int, value binary")).collect()
+    parts = common.summed(common.mapped(docs.select("text"), run, "block int, value binary")).collect()
     out = np.zeros((BLOCKS, buckets * dims // BLOCKS), np.float32)
     for r in parts:
         out[r["block"]] = np.frombuffer(r["value"], np.float32)
@@ -166,7 +166,13 @@ def collected(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 3, held_out: int = 1) -> tuple[np.ndarray, Network]:
-    """Word vectors of all of ``docs``, and a network fitted on at most ``most`` labelled rows outside the held-out fold."""
+    """Word vectors of all of ``docs``, and a network fitted on at most ``most`` labelled rows outside the held-out fold.
+
+    Whole texts count, in blocks of bytes, however long they are; null texts are empty.  Rows of a repeated doc_id all
+    enter with its label; rows without an id give words, but have no label.  Without labels, or labels of one kind,
+    the network gives every text the smoothed share of ones (0.5 for empty tables).  Columns but doc_id and text, and
+    doc_id and the labels' column, are not read.
+    """
     vectors = word_vectors(docs)
 
     def run(batches):
@@ -174,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 3,
             x = pooled([(t or "").encode() for t in b.column(1).to_pylist()], vectors)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
-    rows = sorted(collected(docs, labelled_sample(labels, "quality", folds, held_out, most)).mapInArrow(run, "id long, y int, x binary").collect())
+    sample = collected(docs, labelled_sample(labels, "quality", folds, held_out, most))
+    rows = sorted(common.mapped(sample, run, "id long, y int, x binary").collect())
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, width(vectors)))
     return vectors, train(x, np.array([r["y"] for r in rows]))
 
@@ -182,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 3,
 def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
     """``docs`` with ``score`` (chance of quality 1) and ``predicted``; columns of these names are replaced.
 
-    Null and empty texts are scored as texts without tokens.
+    Null and empty texts are scored as texts without tokens, texts of any length whole, in blocks of bytes.  Repeated
+    rows are scored each, alike; other columns, null ids too, pass through; an empty table gives an empty result.
     """
     docs = docs.drop("score", "predicted")
     at, names = docs.columns.index("text"), [*docs.columns, "score", "predicted"]
@@ -194,10 +202,25 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
             p = net.score(pooled([(t or "").encode() for t in b.column(at).to_pylist()], vectors))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def accepted(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
+    """Rows of ``docs``, with all their columns and no others, whose chance of quality 1 is 0.5 at least."""
+    at, names = docs.columns.index("text"), docs.columns
+    held = docs.sparkSession.sparkContext.broadcast((vectors, net))
+
+    def run(batches):
+        vectors, net = held.value
+        for b in batches:
+            p = net.score(pooled([(t or "").encode() for t in b.column(at).to_pylist()], vectors))
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(p >= 0.5)).columns, names=names)
+
+    return common.mapped(docs, run, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, scored as ``score`` says by what ``fit`` learns; held_out is false where doc_id is null."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, *fit(docs, common.table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.expr(f"coalesce({fold('doc_id', 3)} = 1, false)").alias("held_out"), "score", "predicted")

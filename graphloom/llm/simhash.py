@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             found = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return common.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 class Tree:
@@ -129,12 +129,27 @@ def near(full: np.ndarray, half: np.ndarray, own: np.ndarray, r: int, bits: int,
         stack += [(members[close], queries[dq <= cut + radius], worse), (members[~close], queries[dq > cut - radius], worse)]
 
 
-def link_fingerprints(fps: DataFrame, bits: int = 3, leaf_rows: int = 20_000, sample_rows: int = 200_000, max_depth: int = 16) -> DataFrame:
+def dealt_shards(rows: DataFrame, node: str, stars, most: int, schema: str) -> DataFrame:
+    """What ``stars`` returns for each shard ``(tree, shard)`` of ``rows``; shards of over ``most`` rows come as pairs of blocks.
+
+    Blocks go by a hash of ``node``, so that equal or close fingerprints, of which no tree can divide a crowd, are spread
+    over many tasks; each task links all pairs within two blocks.
+    """
+    rows = common.checkpoint(rows)
+    large = rows.groupBy("tree", "shard").count().where(F.col("count") > most).select("tree", "shard", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    dealt = rows.join(large, ["tree", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(node), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return dealt.drop("blocks", "mine", "other").groupBy("tree", "shard", "i", "j").applyInPandas(stars, schema)
+
+
+def link_fingerprints(fps: DataFrame, bits: int = 3, leaf_rows: int = 20_000, sample_rows: int = 200_000, max_depth: int = 16, most: int = 200_000) -> DataFrame:
     """Links ``(a, b)`` between representatives (column ``rep``) of distinct fingerprints (``fp``).
 
     Chained links connect exactly the fingerprints that differ in at most ``bits`` bits: each shard returns a spanning
     star of every class it found, not the pairs of a class, so a group of copies costs as many rows as members.
     The trees are fitted on a sample of at most ``sample_rows`` fingerprints, taken by hash; all rows are indexed.
+    Shards of more than ``most`` rows are dealt as pairs of blocks.
     """
     r, n = bits // 2, fps.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows)))))
@@ -147,17 +162,17 @@ def link_fingerprints(fps: DataFrame, bits: int = 3, leaf_rows: int = 20_000, sa
             x = np.asarray(b.column(0)).view(np.uint64)
             for k, tree in enumerate(trees):
                 row, leaf, own = tree.leaves((x >> np.uint64(32 * k)).astype(np.uint32), r)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(own)], names=["half", "shard", "fp", "rep", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(own)], names=["tree", "shard", "fp", "rep", "own"])
 
     def stars(pdf):
-        k, full, own, rep = int(pdf["half"].iloc[0]), pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy(), pdf["rep"].to_numpy()
+        k, full, own, rep = int(pdf["tree"].iloc[0]), pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy(), pdf["rep"].to_numpy()
         forest = common.Forest(len(full))
         near(full, (full >> np.uint64(32 * k)).astype(np.uint32), own, r, bits, forest, np.random.default_rng(3))
         child = np.flatnonzero(forest.root != np.arange(len(full)))
         return type(pdf)({"a": rep[child], "b": rep[forest.root[child]]})
 
-    dealt = fps.select("fp", "rep").mapInArrow(shards, "half int, shard int, fp long, rep long, own boolean")
-    return dealt.groupBy("half", "shard").applyInPandas(stars, "a long, b long")
+    dealt = common.mapped(fps.select("fp", "rep"), shards, "tree int, shard int, fp long, rep long, own boolean")
+    return dealt_shards(dealt, "rep", stars, most, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
@@ -165,7 +180,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
 
     Fingerprints of at most ``bits`` differing bits link, chains included; component_id is the smallest doc_id of the
     class.  Null, empty and blank texts have fingerprint zero and link like any other.  A row with a null doc_id is
-    kept and takes its fingerprint's class (null if no row of the class has an id); repeated rows stay repeated.
+    kept and takes its fingerprint's class (null if no row of the class has an id); repeated rows stay repeated, and rows
+    of one id with different texts each have their own fingerprint's class.  Texts of any length are read whole, in
+    blocks of bytes.  Other columns, whatever their names, are not read; an empty table gives an empty result.
     """
     own = common.checkpoint(fingerprints(docs, words))
     fps = common.checkpoint(own.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -235,41 +252,42 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 1024, leaf_rows: int = 20_000, sample_rows: int = 200_000, max_depth: int = 16) -> DataFrame:
-    """``(doc_id, component_id)`` for the ids of ``docs(doc_id, text, ...)``, one row each.
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 1024, leaf_rows: int = 20_000, sample_rows: int = 200_000, max_depth: int = 16, most: int = 200_000) -> DataFrame:
+    """``(a, b, doc_id, class binary)`` of each different ``(doc_id, text)`` of ``docs``; a and b are two hashes of it (``row_key``).
 
-    Documents link if the Jaccard similarity of their sets of ``words`` words is at least ``similarity``, chains included;
-    component_id is the smallest doc_id of the class.  Null, empty and blank texts are copies of each other.  Rows of
-    one id count as one document; null ids are left out.
+    Texts link if the Jaccard similarity of their sets of ``words`` words is at least ``similarity``, chains included.
+    Null, empty and blank texts are copies of each other.  Rows are told apart by id and text, so texts that share an
+    id, or have none, each have a class of their own.
 
-    Every document has several fingerprints, each of other parts of its shingles; halves of them are searched by
+    Every text has several fingerprints, each of other parts of its shingles; halves of them are searched by
     vantage-point trees within one bit, so that a pair at the threshold is missed with a chance of 1e-6 (``plan_parts``).
     What meets is a candidate; classes of candidates are compared by their whole shingle sets.  Classes of more
-    than ``block`` documents are dealt as pairs of blocks; nothing is dropped from a class.
+    than ``block`` texts are dealt as pairs of blocks, shards of more than ``most`` too; nothing is dropped.
     """
     parts, differ = plan_parts(similarity)
-    spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    a, b = row_key()
+    spread = docs.select(a.alias("a"), b.alias("b"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def keyed(whole):
         import xxhash
 
         def run(batches):
             for b in batches:
-                ids, keys, out, more = b.column(0), [], [], []
-                for text in b.column(1).to_pylist():
+                keys, out, more = [], [], []
+                for text in b.column(3).to_pylist():
                     own = shingles(text, words)
                     keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    a, c = (own, None) if whole or not len(own) else sketch(own, parts)
-                    out.append(a.tobytes())
+                    x, c = (own, None) if whole or not len(own) else sketch(own, parts)
+                    out.append(x.tobytes())
                     more.append(c is not None and c.tobytes() or b"")
-                yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(out, pa.binary()), pa.array(more, pa.binary())], names=["doc_id", "key", "data", "bits"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.binary()), pa.array(out, pa.binary()), pa.array(more, pa.binary())], names=["a", "b", "doc_id", "key", "data", "bits"])
 
         return run
 
-    schema = "doc_id long, key binary, data binary, bits binary"
-    own = common.checkpoint(spread.mapInArrow(keyed(False), schema))
-    reps = common.checkpoint(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("data").alias("data"), F.first("bits").alias("bits")))
-    full = reps.where("length(data) > 0")
+    schema = "a long, b long, doc_id long, key binary, data binary, bits binary"
+    own = common.checkpoint(common.mapped(spread, keyed(False), schema))
+    nodes = common.checkpoint(own.groupBy("key").agg(F.first("data").alias("data"), F.first("bits").alias("bits"), F.min(F.struct("a", "b")).alias("of")))
+    full = nodes.where("length(data) > 0")
     n = full.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows)))))
     every = max(1, -(-n // max(1, min(sample_rows, 64 * 2**depth))))
@@ -285,37 +303,66 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             for k, tree in enumerate(trees):
                 row, leaf, mine = tree.leaves(halves[:, k], 1)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(halves[row, k].astype(np.int64)), b.column(0).take(at), b.column(2).take(at), pa.array(mine)], names=["tree", "shard", "half", "rep", "bits", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(halves[row, k].astype(np.int64)), b.column(0).take(at), b.column(2).take(at), pa.array(mine)], names=["tree", "shard", "half", "key", "bits", "own"])
 
     def stars(pdf):
-        half, rep = pdf["half"].to_numpy().astype(np.uint32), pdf["rep"].to_numpy()
+        half, key = pdf["half"].to_numpy().astype(np.uint32), pdf["key"].to_numpy()
         bits = np.frombuffer(b"".join(x.ljust(-(-parts // 8) * 8, b"\0") for x in pdf["bits"]), np.uint64).reshape(len(pdf), -1)
         forest = common.Forest(len(pdf))
         near(half, half, pdf["own"].to_numpy(), 1, 1, forest, np.random.default_rng(3), also=lambda a, b: np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= differ)
         child = np.flatnonzero(forest.root != np.arange(len(pdf)))
-        return type(pdf)({"a": rep[child], "b": rep[forest.root[child]]})
+        return type(pdf)({"a": key[child], "b": key[forest.root[child]]})
 
-    dealt = full.select("rep", "data", "bits").mapInArrow(shards, "tree int, shard int, half long, rep long, bits binary, own boolean")
-    met = common.connected_components(dealt.groupBy("tree", "shard").applyInPandas(stars, "a long, b long"))
-    met = common.checkpoint(met.select(F.col("node").alias("rep"), F.col("component_id").alias("c")))
+    dealt = common.mapped(full.select("key", "data", "bits"), shards, "tree int, shard int, half long, key binary, bits binary, own boolean")
+    met = common.connected_components(dealt_shards(dealt, "key", stars, most, "a binary, b binary"))
+    met = common.checkpoint(met.select(F.col("node").alias("key"), F.col("component_id").alias("c")))
     many = met.groupBy("c").count().select("c", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    wanted = full.select("key", "rep").join(met, "rep").join(many, "c")
-    sets = spread.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(keyed(True), schema)
-    sets = sets.select("key", F.col("doc_id").alias("rep"), "data").dropDuplicates(["key", "rep"]).join(wanted, ["key", "rep"])
-    mine = F.pmod(F.xxhash64("rep"), "parts").cast("int")
+    wanted = full.select("key", "of.a", "of.b").join(met, "key").join(many, "c").drop("key")
+    sets = common.mapped(spread.join(wanted.select("a", "b"), ["a", "b"], "left_semi"), keyed(True), schema)
+    sets = sets.select("a", "b", "key", "data").dropDuplicates(["a", "b"]).join(wanted, ["a", "b"])
+    mine = F.pmod(F.xxhash64("key"), "parts").cast("int")
     sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sets = sets.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "data")
+    sets = sets.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "data")
 
     def confirm(pdf):
-        rep, root = pdf["rep"].to_numpy(), similar([np.frombuffer(x, np.uint64) for x in pdf["data"]], similarity)
+        key, root = pdf["key"].to_numpy(), similar([np.frombuffer(x, np.uint64) for x in pdf["data"]], similarity)
         child = np.flatnonzero(root != np.arange(len(root)))
-        return type(pdf)({"a": rep[child], "b": rep[root[child]]})
+        return type(pdf)({"a": key[child], "b": key[root[child]]})
+
+    groups = common.connected_components(sets.groupBy("c", "i", "j").applyInPandas(confirm, "a binary, b binary"))
+    groups = groups.select(F.col("node").alias("key"), "component_id")
+    found = own.select("a", "b", "doc_id", "key").join(groups, "key", "left")
+    return found.select("a", "b", "doc_id", F.coalesce("component_id", "key").alias("class")).dropDuplicates(["a", "b"])
+
 
-    links = sets.groupBy("c", "i", "j").applyInPandas(confirm, "a long, b long")
-    same = own.join(reps.select("key", "rep"), "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = common.connected_components(links.unionByName(same))
-    ids = own.select("doc_id").distinct()
-    return ids.join(groups, ids.doc_id == groups.node, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+def row_key() -> tuple:
+    """Two 64-bit hashes of a row's id and text; a null text counts as empty."""
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    return F.xxhash64(text, doc_id, doc_id.isNull()), F.xxhash64(F.lit("row"), doc_id, text, doc_id.isNull())
+
+
+def similar_documents(docs: DataFrame, **how) -> DataFrame:
+    """``(doc_id, component_id)`` of each different (doc_id, text): the smallest doc_id of its class, null if it has none."""
+    found = common.checkpoint(similar_texts(docs, **how))
+    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "class").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """Of each class of ``similar_texts`` one row of ``docs``, with all its columns: that of smallest id, null ids last.
+
+    Where an id has several texts of the class, the text of smallest hash stays; of rows equal in id and text the one of
+    smallest hash over all columns.  Texts of other classes stay, whatever their ids.  Null and empty texts are one
+    class.  An empty table gives an empty one; columns may have any names.
+    """
+    found = common.checkpoint(similar_texts(docs, **how))
+    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "a", "b")).alias("x")).select("x.a", "x.b")
+    names = common.unused(docs, "a", "b")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hashable = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    a, b = row_key()
+    rows = docs.withColumns(dict(zip(names, (a, b)))).groupBy(*names).agg(F.min_by(whole, F.xxhash64(*hashable)).alias("row"))
+    return rows.join(kept.toDF(*names), names, "left_semi").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5,
     """A model from at most ``most`` labelled documents outside the held-out fold; their whole texts count.
 
     Presence by class is first counted in hashed bins, whose number is fixed; then the features of the 2,048 bins of
-    strongest evidence come to the driver, per sampled document.
+    strongest evidence come to the driver, per sampled document.  Null texts are empty; rows of a repeated doc_id
+    all enter with its label, rows without an id don't.  Without labels, or labels of one kind, the model is a bias.
     """
     sample = quality.collected(docs, quality.labelled_sample(labels, "toxic", folds, held_out, most))
     half = BINS // quality.BLOCKS
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5,
         if n.any():
             yield pa.RecordBatch.from_arrays([pa.array([*range(quality.BLOCKS), -1], pa.int32()), pa.array([*(t.tobytes() for t in total), n.astype(np.float32).tobytes()], pa.binary())], names=["block", "value"])
 
-    counted = {r["block"]: np.frombuffer(r["value"], np.float32) for r in common.summed(sample.mapInArrow(bins, "block int, value binary")).collect()}
+    counted = {r["block"]: np.frombuffer(r["value"], np.float32) for r in common.summed(common.mapped(sample, bins, "block int, value binary")).collect()}
     n_neg, n_pos = map(float, counted.pop(-1, np.zeros(2)))
     counts = np.zeros((quality.BLOCKS, 2, half))
     for k, value in counted.items():
@@ -201,13 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5,
                 swapped[k] = f
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own([t.encode() for t in texts]), pa.binary()), pa.array(swapped, pa.binary())], names=["id", "y", "f", "s"])
 
-    rows = sorted(sample.mapInArrow(chosen, "id long, y int, f binary, s binary").collect(), key=lambda r: (r["id"], r["y"]))
+    rows = sorted(common.mapped(sample, chosen, "id long, y int, f binary, s binary").collect(), key=lambda r: (r["id"], r["y"]))
     read = lambda x: np.frombuffer(x, np.uint64)
     return train([read(r["f"]) for r in rows], np.array([r["y"] for r in rows], float), [(k, read(r["s"])) for k, r in enumerate(rows) if r["s"] is not None])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, predicted)`` of every row's whole text; null and empty texts get the bias alone."""
+    """``(doc_id, score, predicted)`` of every row's whole text, in blocks of bytes where it is long.
+
+    Null and empty texts get the bias alone.  Repeated rows are scored each, alike; null ids stay; other columns are not
+    read; an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -216,10 +221,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return common.mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, scored as ``score`` says by what ``fit`` learns; held_out is false where doc_id is null."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, common.table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.expr(f"coalesce({quality.fold('doc_id', 5)} = 0, false)").alias("held_out"), "score", "predicted")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from graphloom.llm import simhash
+from graphloom.llm import common, simhash
 from tests.llm.conftest import WORDS
 from tests.llm.test_dedup import classes
 
@@ -47,6 +47,42 @@ def test_stage_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in split.collect()} == {k: min(i for i, x in enumerate(root) if x == r) for k, r in enumerate(root)}
 
 
+def check_kept(rows, kept):
+    """``kept`` has one of the (id, text) of each class of ``rows``: one of the smallest id, null last."""
+    known = sorted(set((i, t or "") for i, t in rows), key=str)
+    sets = [brute_set(t) for _, t in known]
+    root = classes(len(known), [(a, b) for a in range(len(known)) for b in range(a) if alike(sets[a], sets[b])])
+    order = lambda i: (i is None, i or 0)
+    least = {}
+    for (i, _), c in zip(known, root):
+        least[c] = min(least.get(c, i), i, key=order)
+    at = {x: c for x, c in zip(known, root)}
+    found = [at[i, t or ""] for i, t in kept]
+    assert sorted(found) == sorted(set(root)) and all(order(i) == order(least[c]) for (i, _), c in zip(kept, found))
+
+
+def test_repeated_ids_lose_no_text(spark):
+    texts = edited_texts(12, seed=9)
+    rows = [(k % 7 if k % 5 else None, t) for k, t in enumerate(texts)] + [(3, texts[0]), (3, texts[0]), (5, texts[0]), (5, None), (6, texts[9] + " end")]
+    docs = spark.createDataFrame([(*r, k % 2) for k, r in enumerate(rows)], "doc_id long, text string, a int")
+    got = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    check_kept(rows, [r[:2] for r in got.collect()])
+    again = corpus_pipeline.without_near_copies(spark, docs.repartition(3, "a"), "")
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_crowded_shards_are_dealt(spark):
+    texts = edited_texts(20, seed=6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, dealt = ({r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, **how).collect()} for how in ({}, {"most": 15, "block": 3}))
+    assert whole == dealt
+    fps = spark.createDataFrame([(k ^ (k << 33), k) for k in range(300)], "fp long, rep long")
+    found = [{r["node"]: r["component_id"] for r in common.connected_components(simhash.link_fingerprints(fps, **how)).collect()} for how in ({}, {"most": 40})]
+    assert found[0] == found[1]
+
+
 def test_plan_of_parts():
     parts, differ = simhash.plan_parts(0.8)
     assert (1 - 0.8**4) ** (2 * parts) <= 1e-6 and 0.1 * 8 * parts < differ < 0.4 * 8 * parts

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import bpe, mixing
-from tests.llm.test_dedup import brute_fingerprint, brute_lines, classes
+from tests.llm.test_dedup import brute_lines
+from tests.llm.test_near_copies import check_kept
 from tests.llm.test_text import judged  # noqa: F401
 
 
@@ -35,13 +36,10 @@ def test_stages(spark, tables, tmp_path):
     assert sorted(map(str, rows[2])) == sorted(str(r[:2]) for r in brute_lines(rows[1], 10))
     assert any("A line that many share" in (t or "") for _, t in rows[1]) and not any("A line that many share" in (t or "") for _, t in rows[2])
     assert seen[2].where("n_chars <> length(text)").count() == 0
-    known = sorted((r for r in rows[2] if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
-    fps = [brute_fingerprint(t) for _, t in known]
-    root = classes(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
-    assert sorted(i for i, _ in rows[3] if i is not None) == sorted({known[k][0] for k in root})
+    check_kept(rows[2], rows[3])
     times = Counter(i for i, _ in rows[4])
     want = Counter()
-    for r in mixing.mix(seen[3])[0].where("size > 0").collect():
+    for r in mixing.mix(seen[3], by=tuple(columns))[0].where("size > 0").collect():
         want[r["doc_id"]] += int(r["taken"] / r["size"] + 0.5)
     assert times == +want and max(times.values()) <= 3
     path, pattern = bpe.production()
@@ -51,6 +49,15 @@ def test_stages(spark, tables, tmp_path):
     assert got == sorted((str(i), own.encode_ordinary(t or "")) for i, t in rows[4])
 
 
+def test_stages_keep_columns_that_clash(spark, tables):
+    names = ("score", "predicted", "n_lines", "n_dropped", "a", "b", "h", "g", "class", "__id", "__gone", "__h", "row", "key", "size", "taken")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns and out.count()
+        assert out.where(" OR ".join(f"`{c}` <> concat('{c}', coalesce(doc_id, 0))" for c in names)).count() == 0
+
+
 def test_whole_run_and_empty_tables(spark, tables, tmp_path):
     assert corpus_pipeline.run(spark, tables).where("n_tokens <> size(ids)").count() == 0
     for name in ("documents", "labels"):

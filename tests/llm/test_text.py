@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, common, licenses, mixing, quality, tool_calls, toxicity
 from graphloom.llm.license_templates import MIT, TEMPLATES
+from tests.llm.conftest import WORDS
 
 
 def key(rows):
@@ -66,9 +67,46 @@ def test_schedule_is_spread_evenly(spark):
         assert all(abs(slots[:n].count(k) - n * t / 1000) < 6 for k, t in enumerate((100, 200, 700)))
 
 
+def brute_mix(sources, block, slots):
+    """Words taken of each document, by a plain walk over the slots.  sources: lists of sizes in shuffled order, with their targets."""
+    sizes, targets = [sum(x) for x, _ in sources], [t for _, t in sources]
+    owners = [[d for d, n in enumerate(own) for _ in range(n)] for own, _ in sources]  # a word's document
+    taken, had, rank = [[0] * len(own) for own, _ in sources], [0] * len(sources), [0] * len(sources)
+
+    def take(s):
+        at = rank[s] % -(-sizes[s] // block) * block
+        rank[s] += 1
+        for w in range(at, min(at + block, sizes[s])):
+            if had[s] < int(targets[s] + 1e-6):
+                taken[s][owners[s][w]] += 1
+                had[s] += 1
+
+    edges = np.cumsum(targets) / sum(targets)
+    for n in range(slots):
+        point = int(f"{n:032b}"[::-1], 2) / 2**32
+        s = int(np.searchsorted(edges, point, side="right"))
+        if had[s] < int(targets[s] + 1e-6):
+            take(s)
+    for s in range(len(sources)):
+        while had[s] < int(targets[s] + 1e-6):
+            take(s)
+    return taken
+
+
+def test_mix_against_a_walk_over_the_slots(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 60))), "xyz"[min(2, k % 5)]) for k in range(60)], "doc_id long, text string, source string")
+    got, due = mixing.mix(docs, slots=40)
+    rows = sorted(got.collect(), key=lambda r: (r["source"], r["h"]))
+    total = sum(r["size"] for r in rows)
+    block = total // 40
+    plan = [([r["size"] for r in rows if r["source"] == s], next(r["target"] for r in rows if r["source"] == s)) for s in "xyz"]
+    assert [r["taken"] for r in rows] == sum(brute_mix(plan, block, -(-total // block)), [])
+
+
 def test_mixed_rows(spark, odd_docs):
     taken = {}
-    for r in mixing.mix(odd_docs)[0].where("size > 0").collect():
+    for r in mixing.mix(odd_docs, by=tuple(odd_docs.columns))[0].where("size > 0").collect():
         taken.setdefault((r["doc_id"], r["source"], r["size"]), []).append(int(r["taken"] / r["size"] + 0.5))
     got = defaultdict(int)
     out = mixing.apply_mix(odd_docs)
@@ -81,6 +119,20 @@ def test_mixed_rows(spark, odd_docs):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_mixed_rows_that_are_alike(spark):
+    """The same id and text in two sources, and crowds of equal rows: each source has its share, in any order of rows."""
+    text = " ".join(WORDS[:25])
+    rows = [(1, text, s, f"{s}{k % 3}") for s in ("a", "b") for k in range(15)] + [(None, None, None, "z")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `__times` string")
+    want = {}
+    for r in mixing.mix(docs, by=tuple(docs.columns))[0].where("size > 0").collect():
+        want[r["source"]] = want.get(r["source"], 0) + int(r["taken"] / r["size"] + 0.5)
+    for chunk in (1000, 2):
+        out = [sorted(map(str, mixing.apply_mix(d, chunk).collect())) for d in (docs, docs.orderBy(F.desc("__times")))]
+        assert out[0] == out[1]
+        assert {s: sum(f"source='{s}'" in x for x in out[0]) for s in ("a", "b")} == want
+
+
 # ---------------------------------------------------------------- byte-level BPE
 
 
