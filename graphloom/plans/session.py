@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -26,3 +26,24 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._graphloom_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder below the one that ``spark.checkpoint.dir`` names.
+
+    Only on one machine (a local master, as in tests) a temporary folder may take its place: on a cluster every executor
+    would write to its own.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
