@@ -253,7 +253,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 1024, leaf_rows: int = 20_000, sample_rows: int = 200_000, max_depth: int = 16, most: int = 200_000) -> DataFrame:
-    """``(a, b, doc_id, class binary)`` of each different ``(doc_id, text)`` of ``docs``; a and b are two hashes of it (``row_key``).
+    """``(a, b, doc_id, class long)`` of each different ``(doc_id, text)`` of ``docs``; a and b are two hashes of it (``row_key``).
 
     Texts link if the Jaccard similarity of their sets of ``words`` words is at least ``similarity``, chains included.
     Null, empty and blank texts are copies of each other.  Rows are told apart by id and text, so texts that share an
@@ -287,6 +287,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
     schema = "a long, b long, doc_id long, key binary, data binary, bits binary"
     own = common.checkpoint(common.mapped(spread, keyed(False), schema))
     nodes = common.checkpoint(own.groupBy("key").agg(F.first("data").alias("data"), F.first("bits").alias("bits"), F.min(F.struct("a", "b")).alias("of")))
+    nodes = nodes.withColumn("no", F.monotonically_increasing_id())  # places in the checkpoint: they stay
     full = nodes.where("length(data) > 0")
     n = full.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows)))))
@@ -303,36 +304,35 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
             for k, tree in enumerate(trees):
                 row, leaf, mine = tree.leaves(halves[:, k], 1)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(halves[row, k].astype(np.int64)), b.column(0).take(at), b.column(2).take(at), pa.array(mine)], names=["tree", "shard", "half", "key", "bits", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(halves[row, k].astype(np.int64)), b.column(0).take(at), b.column(2).take(at), pa.array(mine)], names=["tree", "shard", "half", "no", "bits", "own"])
 
     def stars(pdf):
-        half, key = pdf["half"].to_numpy().astype(np.uint32), pdf["key"].to_numpy()
+        half, no = pdf["half"].to_numpy().astype(np.uint32), pdf["no"].to_numpy()
         bits = np.frombuffer(b"".join(x.ljust(-(-parts // 8) * 8, b"\0") for x in pdf["bits"]), np.uint64).reshape(len(pdf), -1)
         forest = common.Forest(len(pdf))
         near(half, half, pdf["own"].to_numpy(), 1, 1, forest, np.random.default_rng(3), also=lambda a, b: np.bitwise_count(bits[a] ^ bits[b]).sum(1) <= differ)
         child = np.flatnonzero(forest.root != np.arange(len(pdf)))
-        return type(pdf)({"a": key[child], "b": key[forest.root[child]]})
+        return type(pdf)({"a": no[child], "b": no[forest.root[child]]})
 
-    dealt = common.mapped(full.select("key", "data", "bits"), shards, "tree int, shard int, half long, key binary, bits binary, own boolean")
-    met = common.connected_components(dealt_shards(dealt, "key", stars, most, "a binary, b binary"))
-    met = common.checkpoint(met.select(F.col("node").alias("key"), F.col("component_id").alias("c")))
+    dealt = common.mapped(full.select("no", "data", "bits"), shards, "tree int, shard int, half long, no long, bits binary, own boolean")
+    met = common.connected_components(dealt_shards(dealt, "no", stars, most, "a long, b long"))
+    met = common.checkpoint(met.select(F.col("node").alias("no"), F.col("component_id").alias("c")))
     many = met.groupBy("c").count().select("c", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    wanted = full.select("key", "of.a", "of.b").join(met, "key").join(many, "c").drop("key")
+    wanted = full.select("no", "of.a", "of.b").join(met, "no").join(many, "c")
     sets = common.mapped(spread.join(wanted.select("a", "b"), ["a", "b"], "left_semi"), keyed(True), schema)
-    sets = sets.select("a", "b", "key", "data").dropDuplicates(["a", "b"]).join(wanted, ["a", "b"])
-    mine = F.pmod(F.xxhash64("key"), "parts").cast("int")
+    sets = sets.select("a", "b", "data").dropDuplicates(["a", "b"]).join(wanted, ["a", "b"])
+    mine = F.pmod(F.xxhash64("no"), "parts").cast("int")
     sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sets = sets.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "data")
+    sets = sets.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "no", "data")
 
     def confirm(pdf):
-        key, root = pdf["key"].to_numpy(), similar([np.frombuffer(x, np.uint64) for x in pdf["data"]], similarity)
+        no, root = pdf["no"].to_numpy(), similar([np.frombuffer(x, np.uint64) for x in pdf["data"]], similarity)
         child = np.flatnonzero(root != np.arange(len(root)))
-        return type(pdf)({"a": key[child], "b": key[root[child]]})
+        return type(pdf)({"a": no[child], "b": no[root[child]]})
 
-    groups = common.connected_components(sets.groupBy("c", "i", "j").applyInPandas(confirm, "a binary, b binary"))
-    groups = groups.select(F.col("node").alias("key"), "component_id")
-    found = own.select("a", "b", "doc_id", "key").join(groups, "key", "left")
-    return found.select("a", "b", "doc_id", F.coalesce("component_id", "key").alias("class")).dropDuplicates(["a", "b"])
+    groups = common.connected_components(sets.groupBy("c", "i", "j").applyInPandas(confirm, "a long, b long"))
+    groups = nodes.select("key", "no").join(groups, F.col("no") == F.col("node"), "left").select("key", F.coalesce("component_id", "no").alias("class"))
+    return own.select("a", "b", "doc_id", "key").dropDuplicates(["a", "b"]).join(groups, "key").select("a", "b", "doc_id", "class")
 
 
 def row_key() -> tuple:

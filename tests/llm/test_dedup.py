@@ -175,8 +175,24 @@ def test_embedding_dedup_odd_inputs(spark):
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, None)]
 
 
+@pytest.mark.parametrize("block", [8, 2048])
+def test_embedding_dedup_of_repeated_ids(spark, block):
+    """Different vectors of one id keep their own links."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(4):
+        centre = rng.normal(size=12)
+        rows += [(int(rng.integers(1, 9)), 1, (centre + rng.normal(size=12) * 0.1).tolist()) for _ in range(12)]
+    rows += [(1, 1, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 1, [1.0, 0.1, 0.0]), (3, 1, [0.0, 1.0, 0.1])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), block=block).collect()
+    links = brute_links(rows)
+    root, n = classes(len(rows), links), np.bincount(np.array(links).ravel(), minlength=len(rows))
+    least = {c: min(rows[k][0] for k, x in enumerate(root) if x == c) for c in root}
+    assert sorted(map(tuple, got)) == sorted((rows[k][0], n[k], least[root[k]], rows[k][0] == least[root[k]]) for k in range(len(rows)))
+
+
 def test_tables_catch_pairs_at_the_threshold():
     bits, tables = embedding_dedup.plan_tables(10**6, 0.93)
     agree = (1 - np.arccos(0.93) / np.pi) ** bits
-    assert bits == 11 and (1 - agree) ** tables <= 1e-6
+    assert bits == 12 and (1 - agree) ** tables <= 1e-6
     assert embedding_dedup.plan_tables(0, 0.93) == embedding_dedup.plan_tables(100, 0.93)
