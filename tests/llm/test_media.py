@@ -26,10 +26,10 @@ def test_recall_of_edits_against_all_pairs(spark):
     rows = [(k, media.encode_pgm(a)) for k, a in enumerate(images(n))]
     asked = [(k, media.encode_pgm(media.edited(media.decode_pgm(b), k))) for k, b in rows]
     schema = "media_id long, image binary"
-    got = media.find_copies(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), block=25).collect()
+    got = media.find_copies(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)).collect()
     pairs = {(r["query_id"], r["media_id"]) for r in got}
     assert sum((k, k) in pairs for k in range(n)) >= 0.95 * n and len([p for p in pairs if p[0] != p[1]]) <= 1
-    by_class = {r["media_id"]: r for r in media.copy_classes(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), block=25).collect()}
+    by_class = {r["media_id"]: r for r in media.copy_classes(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)).collect()}
     for k in range(n):
         own = [p for p in pairs if p[1] == k]
         assert by_class[k]["n_links"] == len(own) and (by_class[k]["query_id"] == k) == ((k, k) in pairs)
@@ -53,23 +53,55 @@ def test_scale(spark):
     a = images(1, 3, 160)[0]
     small = np.clip(media.resized(a[None].astype(np.float32), 1.4)[0], 0, 255).astype(np.uint8)
     q, p = media.describe_all([small, a])
-    index = media.Index([7], [q])
-    i, j = index.pairs(p, 56)
+    i, j = media.matched(q, p, 56)
     best = media.consensus(q[i], p[j], 4)
     assert best[0] >= 8 and best[1] == pytest.approx(1 / 1.4, rel=0.1)
 
 
 def test_tables_hold_what_brute_force_finds():
-    a, b = (np.concatenate(media.describe_all(list(images(6, s)))) for s in (1, 1))
-    noisy = b.copy()
+    a = np.concatenate(media.describe_all(list(images(6, 1))))
     rng = np.random.default_rng(2)
-    bits = np.unpackbits(noisy["bits"], axis=1) ^ (rng.random((len(b), 256)) < 0.04)
-    noisy["bits"] = np.packbits(bits, axis=1)
-    i, j = media.Index([0], [a]).pairs(noisy, 56)
-    found = set(zip(i.tolist(), j.tolist()))
-    true = [(k, k) for k in range(len(a))]
-    assert sum(t in found for t in true) >= 0.95 * len(true)
-    assert all(np.bitwise_count(a["bits"][x] ^ noisy["bits"][y]).sum() <= 56 for x, y in list(found)[:200])
+    differ, bits, tables = 16, *media.plan_tables(30_000, 16, 0.1)
+    missed = 0
+    for k in range(len(a)):
+        noisy = a[k : k + 1].copy()
+        own = np.unpackbits(noisy["bits"], axis=1)
+        own[0, rng.permutation(256)[:differ]] ^= 1
+        noisy["bits"] = np.packbits(own, axis=1)
+        missed += not len(np.intersect1d(media.keys([a[k : k + 1]], bits, tables)[1], media.keys([noisy], bits, tables)[1]))
+        assert [x.tolist() for x in media.matched(a[k : k + 1], noisy, differ)] == [[0], [0]] and not len(media.matched(a[k : k + 1], noisy, differ - 1)[0])
+    assert missed <= 0.14 * len(a)
+    i, j = media.matched(a, a, differ)
+    brute = np.argwhere(np.bitwise_count(a["bits"][:, None] ^ a["bits"][None]).sum(2) <= differ)
+    assert np.array_equal(np.stack([i, j], 1), brute)
+
+
+def test_pairs_are_those_of_brute_force(spark):
+    """Every image against every query by all pairs of descriptors: noise, copies of images within others, close drawings."""
+    rng, a = np.random.default_rng(5), images(24, 9)
+    near = [np.clip(a[k] + rng.normal(0, s, a[k].shape), 0, 255).astype(np.uint8) for k, s in enumerate((3, 6, 9, 14, 20, 30))]
+    rows = [(k, x) for k, x in enumerate([*a, *near])] + [(100, np.hstack([a[0], a[1]])), (101, a[2]), (5, a[3])]
+    asked = [(k, media.edited(x, k)) for k, x in enumerate(a[:12])] + [(50, media.edited(a[4], 0))]
+    pq, pm = media.describe_all([x for _, x in asked]), media.describe_all([x for _, x in rows])
+    want = set()
+    for q, x in zip(asked, pq):
+        for r, y in zip(rows, pm):
+            i, j = media.matched(x, y, 16)
+            if len(i) >= 8 and media.consensus(x[i], y[j], 4.0)[0] >= 8:
+                want.add((q[0], r[0]))
+    schema = "media_id long, image binary"
+    frames = [spark.createDataFrame([(k, bytearray(media.encode_pgm(x))) for k, x in part], schema) for part in (rows, asked)]
+    got = {(r["query_id"], r["media_id"]) for r in media.find_copies(*frames).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 16
+    classes = {(r["media_id"], r["n_links"], r["component_id"]) for r in media.copy_classes(*frames).collect()}
+    assert (101, 1, 2) in classes and (5, 1, 3) in classes and (100, 2, 0) in classes and (23, 0, 23) in classes
+
+
+def test_repetitive_images_take_bounded_memory():
+    board = np.kron(np.indices((20, 20)).sum(0) % 2, np.ones((8, 8))).astype(np.uint8) * 200
+    (p,) = media.describe_all([board])
+    i, j = media.matched(p, p, 24)
+    assert len(i) > 1000 and media.consensus(p[i], p[j], 4.0)[0] >= 8
 
 
 def test_odd_inputs(spark):
