@@ -125,7 +125,7 @@ def plan_tables(descriptors: int, differ: int, miss: float) -> tuple[int, int]:
     """``(bits, tables)``: two bits a key for each doubling of the descriptors asked for, as bits of smooth images hang together
     (four more make chance meetings about three times as rare), and as many tables as it takes that two descriptors that
     differ in ``differ`` bits share no key with a chance of ``miss`` at most (closer ones less often)."""
-    bits = min(52, max(16, 2 * max(1, descriptors).bit_length()))
+    bits = min(48, max(16, 2 * max(1, descriptors).bit_length()))
     agree = math.prod((BITS - differ - k) / (BITS - k) for k in range(bits))
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
@@ -142,13 +142,13 @@ def looked_at(bits: int, tables: int) -> np.ndarray:
 def keys(images: list[np.ndarray], bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """``(image, key)``, each once: of each descriptor, the bits that each table looks at, and the table's number."""
     points, owner = np.concatenate([*images, np.empty(0, POINT)]), np.repeat(np.arange(len(images)), [len(x) for x in images])
-    found = (np.unpackbits(points["bits"], axis=1) @ looked_at(bits, tables)).astype(np.int64) + (np.arange(tables) << bits)
-    found, owner = found.ravel(), np.repeat(owner, tables)
-    order = np.lexsort((found, owner))
-    found, owner = found[order], owner[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-    return owner[new], found[new]
+    found = (np.unpackbits(points["bits"], axis=1) @ looked_at(bits, tables)).astype(np.int64)
+    found = np.sort((owner << bits)[:, None] + found, axis=0)
+    new = np.ones(found.shape, bool)
+    new[1:] = found[1:] != found[:-1]
+    table, at = np.nonzero(new.T)
+    found = found[at, table]
+    return found >> bits, (found & ((1 << bits) - 1)) + (table << bits)
 
 
 def matched(q: np.ndarray, p: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
