@@ -1,8 +1,10 @@
 """Mixing, tokens, licences and tool calls against brute force; classifiers by held-out accuracy."""
 
 import base64
+import decimal
 import hashlib
 import json
+import math
 import random
 from collections import defaultdict
 
@@ -207,7 +209,12 @@ def test_license_scan(spark, odd_docs):
 
 # ---------------------------------------------------------------- tool calls
 
-SCHEMAS = {"find": {"q": ("string", True), "n": ("number", False), "o": ("object", False), "l": ("array", False), "b": ("boolean", False)}, "none": {}}
+PLACE = {"type": "object", "properties": {"city": {"type": "string"}, "at": {"type": "array", "items": {"type": "number"}}}, "required": ["city"]}
+SCHEMAS = {
+    "find": {"properties": {"q": {"type": "string"}, "n": {"type": "number"}, "i": {"type": "integer"}, "o": {"type": "object", "additionalProperties": True}, "l": {"type": "array"}, "b": {"type": "boolean"}}, "required": ["q"]},
+    "go": {"properties": {"to": PLACE, "stops": {"type": "array", "items": PLACE}, "by": {"enum": ["foot", 1, None]}}},
+    "none": {},
+}
 
 
 def call(id, name="find", arguments='{"q":"x"}'):
@@ -234,15 +241,43 @@ def test_tool_calls(spark):
     assert got["1", 0, 0]["canonical"] == '{"arguments":{"n":1,"q":"$call:b"},"id":"a","name":"find","result":null}'
 
 
-@pytest.mark.parametrize(
-    "name, arguments, errors",
-    [
+def test_arguments(spark):
+    none = ["arguments are not a JSON object"]
+    cases = [
         ("find", '{"q":"x"}', []), ("find", "{}", ["missing q"]), ("find", '{"q":1,"z":2}', ["q is not string", "unexpected z"]), ("find", '{"q":"x","n":"1","o":[],"l":{},"b":0}', ["b is not boolean", "l is not array", "n is not number", "o is not object"]),
-        ("find", '{"q":"x","n":1.5,"o":{},"l":[1],"b":true}', []), ("find", '{"q":null}', ["q is not string"]), ("find", "[1]", ["arguments are not a JSON object"]), ("find", "{", ["arguments are not a JSON object"]), ("find", None, ["arguments are not a JSON object"]), ("what", "{}", ["unknown tool"]), (None, "{}", ["unknown tool"]), ("none", "{}", []),
-    ],
-)
-def test_arguments(spark, name, arguments, errors):
-    assert link(spark, [(1, 0, "assistant", None, [call("a", name, arguments)], None)])[0]["errors"] == errors
+        ("find", '{"q":"x","n":1.5,"o":{"any":1},"l":[1],"b":true}', []), ("find", '{"q":null}', ["q is not string"]), ("find", "[1]", none), ("find", "{", none), ("find", None, none), ("what", "{}", ["unknown tool"]), (None, "{}", ["unknown tool"]), ("none", "{}", []), ("none", '{"a":1}', ["unexpected a"]),
+        ("find", '{"q":"x","q":"y"}', ["arguments repeat a key"]), ("find", '{"q":"x","i":2.0}', []), ("find", '{"q":"x","i":2.5}', ["i is not integer"]), ("find", '{"q":"x","i":"2"}', ["i is not integer"]), ("find", '{"q":"x","i":123456789012345678901234567890}', []),
+        ("go", '{"to":{"city":"A","at":[1,2.5]},"stops":[],"by":"foot"}', []), ("go", '{"to":{"at":[1,"2"],"zip":3},"by":2}', ["by is not allowed", "missing to.city", "to.at[1] is not number", "unexpected to.zip"]),
+        ("go", '{"stops":[{"city":"A"},{"city":7},3],"by":null}', ["stops[1].city is not string", "stops[2] is not object"]),
+    ]
+    got = link(spark, [(1, k, "assistant", None, [call(f"c{k}", name, arguments)], None) for k, (name, arguments, _) in enumerate(cases)])
+    assert [r["errors"] for r in sorted(got, key=lambda r: r["turn"])] == [e for _, _, e in cases]
+
+
+def plain_number(text):
+    d = decimal.Decimal(text)
+    if not d:
+        return "0"
+    digits = "".join(map(str, d.as_tuple().digits)).rstrip("0")
+    digits, point = digits.lstrip("0"), len("".join(map(str, d.as_tuple().digits)).lstrip("0")) + d.as_tuple().exponent
+    sign, n = "-" * (d < 0), len(digits)
+    if 0 < point <= 21:
+        return sign + (digits + "0" * (point - n) if n <= point else digits[:point] + "." + digits[point:])
+    if -6 < point <= 0:
+        return sign + "0." + "0" * -point + digits
+    return f"{sign}{digits[0]}{'.' + digits[1:] if n > 1 else ''}e{'+' if point > 0 else ''}{point - 1}"
+
+
+def test_canonical_numbers_keep_their_value(spark):
+    rng = random.Random(3)
+    texts = ["0", "-0", "0.0", "0e5", "1", "1.0", "1e0", "100", "1E2", "0.00001", "1e-5", "1e-7", "0.0000001", "12345678901234567890123456789012345678901", "1e20", "1e21", "1e22", "-1.50e+3", "123.4560", "1e400", "5e-324", "0.1e1", "999999999999999999999.5"]
+    texts += [f"{rng.choice(['', '-'])}{rng.choice(['0', str(rng.randrange(1, 10**9))])}{rng.choice(['', f'.{rng.randrange(10**6):06d}'])}{rng.choice(['', f'e{rng.randrange(-30, 30)}'])}" for _ in range(200)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(tool_calls.canonical_number(F.col("t"))).collect()]
+    assert got == [plain_number(t) for t in texts]
+    arguments = ['{"b":[1.0, 1e0,"1.0","n\\"2.50\\""], "a":-0.50, "long":12345678901234567890123456789012345678901, "s":"s\\u0041\\/é"}', '{"a":1,"a":2}', "{", None, json.dumps({"x": 'quote " and \\ ' * 20_000, "k": list(range(3000))})]
+    shown = [r[0] for r in spark.createDataFrame(list(enumerate(arguments)), "k int, t string").orderBy("k").select(tool_calls.canonical_json(F.col("t"))).collect()]
+    assert shown[0] == '{"a":-0.5,"b":[1,1,"1.0","n\\"2.50\\""],"long":1.2345678901234567890123456789012345678901e+40,"s":"sA/é"}'
+    assert shown[1:4] == [None] * 3 and shown[4] == json.dumps(json.loads(arguments[4]), sort_keys=True, separators=(",", ":"))
 
 
 def test_canonical_json_sorts_and_keeps_values(spark):
@@ -295,6 +330,92 @@ def test_tokens_are_those_of_a_plain_loop():
     assert [p for _, p in common.blocks([b"x" * 20], 3)] == [[b"x" * 6]] * 3 + [[b"xx"]]
 
 
+def test_word_vectors_are_those_of_a_plain_loop(spark, odd_docs):
+    docs = odd_docs.where("length(text) < 5000 OR text IS NULL").repartition(3)
+    buckets, dims = 256, 8
+    place, sign = quality.index_vectors(buckets, dims, 11)
+    total = np.zeros((buckets, dims))
+    for (text,) in docs.select("text").collect():
+        w = [int(h) % buckets for h in common.Tokens([(text or "").encode()]).hash]
+        for a in range(len(w)):
+            for b in range(max(0, a - 2), min(len(w), a + 3)):
+                if a != b:
+                    for k in (0, 1):
+                        total[w[a], place[k][w[b]]] += sign[k][w[b]]
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality.word_vectors(docs, buckets, dims), want, atol=1e-5)
+
+
+def adam(p, grads, state, step, rate, slow):
+    for k, g in enumerate(grads):
+        state[k][0] += 0.1 * (g - state[k][0])
+        state[k][1] += slow * (g * g - state[k][1])
+        p[k] -= rate * state[k][0] / (1 - 0.9**step) / (math.sqrt(state[k][1] / (1 - (1 - slow) ** step)) + 1e-8)
+
+
+def test_network_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(10, 3)), np.array([0, 1, 1, 0, 1, 0, 1, 1, 0, 0])
+    got = quality.train(x, y, hidden=2, seed=1)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    first = np.random.default_rng(1)
+    w1 = first.normal(0, 1 / np.sqrt(3), (3, 2))
+    order = first.permutation(10)
+    p, state = [*w1.ravel().tolist(), *[0.0] * 5], [[0.0, 0.0] for _ in range(11)]  # w1 by input, b1, w2, b2
+    z = ((x - mean) / scale).tolist()
+    score = lambda p, r: math.fsum(math.tanh(sum(r[i] * p[2 * i + h] for i in range(3)) + p[6 + h]) * p[8 + h] for h in (0, 1)) + p[10]
+    for step in range(1, 301):
+        grads = [1e-4 * v for v in p[:6]] + [0.0, 0.0] + [1e-4 * v for v in p[8:10]] + [0.0]
+        for k in order[2:]:
+            g = (1 / (1 + math.exp(-score(p, z[k]))) - y[k]) / 8
+            for h in (0, 1):
+                act = math.tanh(sum(z[k][i] * p[2 * i + h] for i in range(3)) + p[6 + h])
+                back = g * p[8 + h] * (1 - act * act)
+                for i in range(3):
+                    grads[2 * i + h] += z[k][i] * back
+                grads[6 + h] += back
+                grads[8 + h] += g * act
+            grads[10] += g
+        adam(p, grads, state, step, 3e-3, 0.001)
+    assert np.allclose(got.logits(x), [score(p, r) for r in z], atol=1e-6)
+    loss = lambda t: sum(math.log1p(math.exp(-(1 if y[k] else -1) * score(p, z[k]) / t)) for k in order[:2])
+    assert got.temperature == pytest.approx(min(np.geomspace(0.25, 8, 61), key=loss))
+
+
+def test_toxicity_is_that_of_a_plain_loop():
+    rng = random.Random(2)
+    y = np.array([k % 2 for k in range(40)], float)
+    rows = [np.array(sorted({rng.choice([3, 5]) if rng.random() < 0.8 else 11, 7 if (rng.random() < 0.9) == bool(v) else 9, 20 + rng.randrange(3)}), np.uint64) for v in y]
+    swapped = [(k, np.array(sorted({11 if f == 7 else int(f) for f in rows[k]}), np.uint64)) for k in range(0, 40, 3)]
+    got = toxicity.train(rows, y, swapped, steps=60)
+    worth = {}
+    for f in {int(f) for r in rows for f in r}:
+        table = [[sum((f in r) == bool(a) and v == b for r, v in zip(rows, y)) for b in (0, 1)] for a in (0, 1)]
+        n = 2 * sum(c * math.log(c * 40 / (sum(table[a]) * (table[0][b] + table[1][b]))) for a in (0, 1) for b in (0, 1) if (c := table[a][b]))
+        if sum(table[1]) >= 3 and n > 6.63:
+            worth[f] = n
+    assert got.features.tolist() == sorted(worth) and len(worth) >= 2
+    names = sorted(worth)
+    p, state = [0.0] * len(names) + [math.log(20.5 / 20.5)], [[0.0, 0.0] for _ in range(len(names) + 1)]
+    logit = lambda r: sum(p[names.index(int(f))] for f in r if int(f) in worth)
+    for step in range(1, 61):
+        grads = [1e-5 * v for v in p[:-1]] + [0.0]
+        for r, v in zip(rows, y):
+            g = (1 / (1 + math.exp(-(p[-1] + logit(r)))) - v) / 40
+            grads[-1] += g
+            for f in r:
+                if int(f) in worth:
+                    grads[names.index(int(f))] += g
+        for k, other in swapped:
+            change = logit(rows[k]) - logit(other)
+            for s, r in ((1, rows[k]), (-1, other)):
+                for f in r:
+                    if int(f) in worth:
+                        grads[names.index(int(f))] += 2 / len(swapped) * s * change
+        adam(p, grads, state, step, 0.1, 0.01)
+    assert np.allclose([*got.weights, got.bias], p, atol=1e-9)
+
+
 def test_pooling_and_features_do_not_hang_on_the_cut(monkeypatch):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(64, 4)).astype(np.float32)
