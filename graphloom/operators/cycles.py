@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpoint as cut
+from ..plans.session import ship
 from . import edges as E
 
 BY = E.BY
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def components(links: list[tuple[str, str]]) -> dict[str, str]:
     """Smallest member of the strongly connected component of each node: two passes, forward and backward, no recursion."""
     after, before = {}, {}
@@ -61,6 +53,7 @@ def _local(pairs: DataFrame) -> DataFrame:
         root = components(list(zip(pdf["from"], pdf["to"])))
         return type(pdf)({BY: pdf[BY].iloc[0], "module": list(root), "component": list(root.values())})
 
+    ship(pairs.sparkSession)
     return pairs.groupBy(BY).applyInPandas(run, f"{BY} string, module string, component string")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..plans.session import ship
 from . import edges as E
 
 BY = E.BY
@@ -91,6 +92,7 @@ def assign_ids(roots: DataFrame, source_root: str, strategy: str = "compact") ->
             ids.append(id)
         return pdf[[BY, "root"]].assign(id=ids)
 
+    ship(rows.sparkSession)
     named = rows.groupBy(BY).applyInPandas(name, f"{BY} string, root string, id string")
     return roots.join(named, [BY, "root"])
 

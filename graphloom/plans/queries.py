@@ -13,6 +13,7 @@ from ..operators import diff as D
 from ..operators import edges as E
 from ..operators import modules as M
 from ..operators import rules as R
+from ..sources import extract, resolve
 from . import render, trade
 from .trade import TRADE
 
@@ -26,13 +27,22 @@ def query(sql: str | None = None, with_trade: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            recursive = "RECURSIVE " if "UNION" in sql and "reach" in sql else ""
+            recursive = "RECURSIVE " if "reach" in sql else ""
             SQL[f.__name__] = f"WITH {recursive}{TRADE}{'' if sql.lstrip().startswith(',') else ' '}{sql}" if with_trade else sql
         return f
 
     return add
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place (from 1) in the order of the columns: a sort by ranges, whose sizes are added up before."""
+    dealt = G.cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(before, "__range").withColumn(name, (within + F.col("__before")).cast("long")).drop("__range", "__before")
+
+
 def _edges(spark, d) -> DataFrame:
     return E.module_edges(trade.owned(spark, d))
 
@@ -80,7 +90,7 @@ def max_fan_out(spark, d):
 
 def _metrics(spark, d, rows=None):
     owned = trade.owned(spark, d, rows)
-    edges, mods = E.module_edges(owned), trade.modules(spark, d)
+    edges, mods = G.cut(E.module_edges(owned).select("snapshot_id", "id", "from", "to", "deepImports")), trade.modules(spark, d)
     return E.metrics(mods, trade.files(spark, d), mods, owned, edges, G.cycles(edges))
 
 
@@ -267,11 +277,10 @@ def finding_message(spark, d):
     return _findings(spark, d).where("code = 'architecture/deep-import'").groupBy("message").agg(F.count("*").alias("n"))
 
 
-@query(_FOUND + ", k AS (SELECT row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, code, coalesce(file, ''), coalesce(line, 0), message) AS place, code, coalesce(file, '') AS file, coalesce(line, 0) AS line, message FROM f) SELECT * FROM k ORDER BY place LIMIT 100")
+@query(_FOUND + ", k AS (SELECT row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, code, coalesce(file, ''), coalesce(line, 0), message) AS place, code, coalesce(file, '') AS file, coalesce(line, 0) AS line, message FROM f) SELECT * FROM k")
 def finding_order(spark, d):
-    top = _findings(spark, d).orderBy(*R.finding_order()).limit(100)
-    place = F.row_number().over(Window.orderBy(*R.finding_order())).cast("long")
-    return top.select(place.alias("place"), "code", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), "message")
+    rows = _findings(spark, d).select(R.level_rank().alias("rank"), "code", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), "message")
+    return numbered(rows, ["rank", "code", "file", "line", "message"], "place").drop("rank")
 
 
 @query(_FOUND + " SELECT code, count(*) AS n FROM f WHERE code IN ('architecture/deep-import', 'architecture/out-of-scope-import') GROUP BY 1")
@@ -287,39 +296,45 @@ def sarif_rules(spark, d):
 # ---------------------------------------------------------------- cycles
 
 
-def _sparse(spark, d) -> DataFrame:
-    """Each nation's two strongest edges: the whole graph is complete and has one cycle of all."""
-    w = Window.partitionBy("from").orderBy(F.desc("imports"), "to")
-    return _edges(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 2").drop("k")
+def _daily(spark, d, rows=None) -> DataFrame:
+    """Module edges of every day's imports, a snapshot each: the graph of all days together is one cycle."""
+    owned = trade.owned(spark, d, rows).withColumn("snapshot_id", F.date_format("day", "yyyy-MM-dd"))
+    return E.module_edges(owned).select("snapshot_id", "id", "from", "to", "imports")
 
 
-_SCC = """, top AS (SELECT fromModule AS a, toModule AS b FROM (SELECT *, row_number() OVER (PARTITION BY fromModule ORDER BY imports DESC, toModule) AS k FROM edges) WHERE k <= 2),
-reach AS (SELECT a, b FROM top UNION SELECT r.a, t.b FROM reach r JOIN top t ON r.b = t.a),
-comp AS (SELECT x.a AS module, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
-grp AS (SELECT component, count(*) AS n, string_agg(module, ',' ORDER BY module) AS members FROM comp GROUP BY component HAVING count(*) > 1)"""
+def _scc(name: str = "", where: str = "true") -> str:
+    """Components of every day's edges, in SQL."""
+    return f"""daily{name} AS (SELECT DISTINCT strftime(day, '%Y-%m-%d') AS d, fromModule AS a, toModule AS b FROM owned WHERE resolution = 'internal' AND fromModule <> toModule AND {where}),
+reach{name} AS (SELECT d, a, b FROM daily{name} UNION SELECT r.d, r.a, t.b FROM reach{name} r JOIN daily{name} t ON r.d = t.d AND r.b = t.a),
+comp{name} AS (SELECT x.d, x.a AS module, least(x.a, min(x.b)) AS component FROM reach{name} x JOIN reach{name} y ON x.d = y.d AND x.a = y.b AND x.b = y.a GROUP BY x.d, x.a),
+grp{name} AS (SELECT d, component, count(*) AS n, string_agg(module, ',' ORDER BY module) AS members FROM comp{name} GROUP BY d, component HAVING count(*) > 1)"""
 
 
-@query(_SCC + " SELECT members, n FROM grp")
+@query(", " + _scc() + " SELECT d AS day, members, n FROM grp")
 def scc_cycles(spark, d):
-    return G.cycles(_sparse(spark, d)).select(F.array_join("modules", ",").alias("members"), F.size("modules").cast("long").alias("n"))
+    return G.cycles(_daily(spark, d)).select(F.col("snapshot_id").alias("day"), F.array_join("modules", ",").alias("members"), F.size("modules").cast("long").alias("n"))
 
 
-@query(_SCC + " SELECT g.members, t.a AS src, t.b AS dst FROM grp g JOIN comp x ON x.component = g.component JOIN comp y ON y.component = g.component JOIN top t ON t.a = x.module AND t.b = y.module")
+@query(", " + _scc() + " SELECT g.d AS day, g.members, t.a AS src, t.b AS dst FROM grp g JOIN comp x ON x.d = g.d AND x.component = g.component JOIN comp y ON y.d = g.d AND y.component = g.component JOIN daily t ON t.d = g.d AND t.a = x.module AND t.b = y.module")
 def scc_edges(spark, d):
-    e = G.cycles(_sparse(spark, d)).select(F.array_join("modules", ",").alias("members"), F.explode("edgeIds").alias("e"))
-    return e.select("members", F.substring_index("e", "\0", 1).alias("src"), F.substring_index("e", "\0", -1).alias("dst"))
+    e = G.cycles(_daily(spark, d)).select(F.col("snapshot_id").alias("day"), F.array_join("modules", ",").alias("members"), F.explode("edgeIds").alias("e"))
+    return e.select("day", "members", F.substring_index("e", "\0", 1).alias("src"), F.substring_index("e", "\0", -1).alias("dst"))
 
 
-@query(_SCC + " SELECT 'Module dependency strongly-connected component: ' || replace(members, ',', ', ') || '.' AS message FROM grp")
+@query(", " + _scc() + " SELECT 'Module dependency strongly-connected component: ' || replace(members, ',', ', ') || '.' AS message, count(*) AS n FROM grp GROUP BY 1")
 def cycle_findings(spark, d):
     registry = R.select_registry({}, [r for r in R.BUILTIN_RULES if r["source"] == "cycles"])
-    return R.evaluate(registry, R.Context({"noCycles": True}, {"cycles": R.cycle_records(G.cycles(_sparse(spark, d)))})).select("message")
+    found = R.evaluate(registry, R.Context({"noCycles": True}, {"cycles": R.cycle_records(G.cycles(_daily(spark, d)))}))
+    return found.groupBy("message").agg(F.count("*").alias("n"))
+
+
+_WHOLE = """, reach AS (SELECT fromModule AS a, toModule AS b FROM edges UNION SELECT r.a, t.toModule FROM reach r JOIN edges t ON r.b = t.fromModule)"""
 
 
-@query(_SCC + """ SELECT line FROM (SELECT '  "' || id || '" [label="' || id || chr(92) || 'n' || (SELECT count(*) FROM files WHERE module = id) || ' files"' || CASE WHEN id IN (SELECT module FROM comp WHERE component IN (SELECT component FROM grp)) THEN ', color="#dc2626", penwidth="2"' ELSE '' END || '];' AS line FROM mods
-UNION ALL SELECT '  "' || a || '" -> "' || b || '" [label="' || imports || ' (' || CASE WHEN publicApi = imports THEN '' ELSE publicApi || '/' || imports || ' ' END || 'public API)"];' FROM top JOIN edges ON fromModule = a AND toModule = b)""")
+@query(_WHOLE + """ SELECT line FROM (SELECT '  "' || id || '" [label="' || id || chr(92) || 'n' || (SELECT count(*) FROM files WHERE module = id) || ' files"' || CASE WHEN id IN (SELECT a FROM reach WHERE a = b) THEN ', color="#dc2626", penwidth="2"' ELSE '' END || '];' AS line FROM mods
+UNION ALL SELECT '  "' || fromModule || '" -> "' || toModule || '" [label="' || imports || ' (' || CASE WHEN publicApi = imports THEN '' ELSE publicApi || '/' || imports || ' ' END || 'public API)"];' FROM edges)""")
 def dot_lines(spark, d):
-    edges = _sparse(spark, d)
+    edges = G.cut(_edges(spark, d).select("snapshot_id", "id", "from", "to", "imports", "publicApiImports"))
     own = trade.files(spark, d).groupBy("snapshot_id", F.col("module").alias("id")).agg(F.collect_list("file").alias("files"))
     mods = trade.modules(spark, d).join(own, ["snapshot_id", "id"], "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
     return render.dot_lines(mods, edges, G.cycles(edges)).select("line")
@@ -508,13 +523,14 @@ def rule_without_conditions(spark, d):
     return R.evaluate(R.select_registry({}, [rule]), R.Context({}, {"imports": _records(spark, d)})).agg(F.count("*").alias("n"))
 
 
-@query(_SCC + " SELECT members FROM grp WHERE contains(',' || members || ',', ',NATION_' || (SELECT min(substr(module, 8)::INT) FROM comp WHERE component IN (SELECT component FROM grp)) || ',')")
+@query(", " + _scc() + " SELECT g.d AS day, members FROM grp g JOIN mods m ON m.key = day(strptime(g.d, '%Y-%m-%d')) % 25 WHERE contains(',' || members || ',', ',' || m.id || ',')")
 def rule_includes_member(spark, d):
-    """Cycles that hold the nation of the smallest number in any; it stands in a field, which the rule refers to."""
-    records = R.cycle_records(G.cycles(_sparse(spark, d)))
-    least = records.select(F.explode("modules").alias("m")).agg(F.min_by("m", F.substring("m", 8, 9).cast("int")).alias("id"))
+    """Cycles that hold the nation whose number is the day of the month (of 25); it stands in a field, which the rule refers to."""
+    records = R.cycle_records(G.cycles(_daily(spark, d)))
+    nation = trade.modules(spark, d).select(F.col("key").alias("nation"), F.col("id").alias("named"))
+    records = records.join(nation, F.dayofmonth(F.to_date("snapshot_id")) % 25 == F.col("nation")).drop("id").withColumnRenamed("named", "id")
     hit = R.condition(R.FIELDS["cycles"], _c("modules", "includes", {"field": "id"}))
-    return records.drop("id").join(least, F.lit(True)).where(hit).select(F.array_join("modules", ",").alias("members"))
+    return records.where(hit).select(F.col("snapshot_id").alias("day"), F.array_join("modules", ",").alias("members"))
 
 
 @query("SELECT id AS module, (SELECT count(*) FROM files WHERE module = id AND public) > 0 AS has_entrypoint, true AS has_peers FROM mods")
@@ -540,25 +556,71 @@ def module_diff(spark, d):
     return D.diff_collection(mods.select("id", "stableId", "root"), after, F.coalesce("stableId", "root", "id"), leave_out=["stableId"]).select("key", "change")
 
 
-def _two_sides(spark, d):
-    out = []
-    for s in _sides(spark, d):
-        e = E.module_edges(trade.owned(spark, d, s))
-        w = Window.partitionBy("from").orderBy(F.desc("imports"), "to")
-        out.append(G.cycles(e.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")))
-    return out
+_LINES = ("line IN (1, 2)", "line IN (2, 5)")
 
 
-def _scc(name: str, where: str) -> str:
-    return f"""e_{name} AS (SELECT fromModule AS a, toModule AS b, count(*) AS n FROM owned WHERE resolution = 'internal' AND fromModule <> toModule AND {where} GROUP BY ALL),
-t_{name} AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM e_{name}) WHERE k = 1),
-reach_{name} AS (SELECT a, b FROM t_{name} UNION SELECT r.a, t.b FROM reach_{name} r JOIN t_{name} t ON r.b = t.a),
-c_{name} AS (SELECT x.a AS module, least(x.a, min(x.b)) AS component FROM reach_{name} x JOIN reach_{name} y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
-g_{name} AS (SELECT string_agg('src/' || split_part(root, '/', 2) || '/' || split_part(root, '/', 3), ',' ORDER BY root) AS members FROM c_{name} JOIN mods ON id = module GROUP BY component HAVING count(*) > 1)"""
+def _keys(name: str) -> str:
+    return f"keyed{name} AS (SELECT c.d || ':' || string_agg(root, ',' ORDER BY root) AS key FROM comp{name} c JOIN grp{name} g ON g.d = c.d AND g.component = c.component JOIN mods ON id = module GROUP BY c.d, c.component)"
 
 
-@query(", " + _scc("b", _BASE) + ", " + _scc("n", _NOW) + " SELECT coalesce(b.members, n.members) AS key, CASE WHEN b.members IS NULL THEN 'added' ELSE 'removed' END AS change FROM g_b b FULL JOIN g_n n ON b.members = n.members WHERE b.members IS NULL OR n.members IS NULL")
+@query(", " + ", ".join(x for n, w in zip("bn", _LINES) for x in (_scc("_" + n, w), _keys("_" + n))) + " SELECT coalesce(b.key, n.key) AS key, CASE WHEN b.key IS NULL THEN 'added' ELSE 'removed' END AS change FROM keyed_b b FULL JOIN keyed_n n ON b.key = n.key WHERE b.key IS NULL OR n.key IS NULL")
 def cycle_diff_stable_key(spark, d):
-    mods = trade.modules(spark, d)
-    a, b = (D.with_cycle_key(c.drop("snapshot_id", "provenance", "edgeIds"), mods) for c in _two_sides(spark, d))
-    return D.diff_collection(a, b, "key").where("change <> 'changed'").select(F.translate("key", "\0", ",").alias("key"), "change")
+    """Every day's cycles of the imports of two spans of lines, by the roots of their members."""
+    mods, sides = trade.modules(spark, d), []
+    for where in _LINES:
+        found = G.cycles(_daily(spark, d, trade.resolved(spark, d).where(where)))
+        found = found.select(F.concat_ws("\0", "snapshot_id", "id").alias("id"), "modules", "snapshot_id")
+        sides.append(D.with_cycle_key(found, mods).select(F.concat_ws(":", "snapshot_id", F.translate("key", "\0", ",")).alias("key"), "modules"))
+    return D.diff_collection(*sides, "key").where("change <> 'changed'").select("key", "change")
+
+
+# ---------------------------------------------------------------- sources made of documents
+
+
+def _sources(spark, d) -> DataFrame:
+    """A source file per document: imports of all kinds, and what only looks like them, by the remainders of its number."""
+    n = F.col("doc_id")
+    number = lambda k: (n % k).cast("string")
+    parts = [
+        F.concat(F.lit('import { a } from "./m'), number(7), F.lit('";')),
+        F.when(n % 3 == 0, F.concat(F.lit('import type T from "t'), number(5), F.lit('";'))).otherwise('// import "no"'),
+        F.concat(F.lit('const x = c ? import("a'), number(11), F.lit('") : import(`b${c}.js`);')),
+        F.when(n % 4 == 0, "interface I { require(x: string): void }").otherwise(F.concat(F.lit('const r = require<R>("r'), number(4), F.lit('");'))),
+        F.when(n % 6 == 1, "export { type A } from 'e';").otherwise('let y: Array<import("no").T> = /"import(1)/;'),
+        F.when(n % 5 == 2, "  load(); import(name); /* end */").otherwise('const s = `import "no" ${require("s")}`;'),
+    ]
+    end = F.when(n % 2 == 0, "\r\n").otherwise("\n")
+    return trade.table(spark, d, "documents").select(trade.snapshot(), F.concat(F.lit("src/d"), n, F.lit(".ts")).alias("path"), F.concat_ws("", *[x for p in parts for x in (p, end)]).alias("text"))
+
+
+_IMPORTS = """WITH n AS (SELECT doc_id AS n FROM documents), found AS (
+  SELECT n, './m' || (n % 7) AS specifier, 'static' AS kind, false AS type_only, 1 AS line, 1 AS col FROM n
+  UNION ALL SELECT n, 't' || (n % 5), 'static', true, 2, 1 FROM n WHERE n % 3 = 0
+  UNION ALL SELECT n, 'a' || (n % 11), 'dynamic', false, 3, 15 FROM n
+  UNION ALL SELECT n, 'b*.js', 'dynamic', false, 3, 15 + length('import("a' || (n % 11) || '") : ') FROM n
+  UNION ALL SELECT n, 'r' || (n % 4), 'require', false, 4, 11 FROM n WHERE n % 4 <> 0
+  UNION ALL SELECT n, 'e', 'export', true, 5, 1 FROM n WHERE n % 6 = 1
+  UNION ALL SELECT n, '<dynamic>', 'dynamic', false, 6, 11 FROM n WHERE n % 5 = 2
+  UNION ALL SELECT n, 's', 'require', false, 6, 26 FROM n WHERE n % 5 <> 2) """
+
+
+@query(_IMPORTS + "SELECT 'src/d' || n || '.ts' AS path, specifier, kind, type_only, line, col FROM found", with_trade=False)
+def import_extract(spark, d):
+    found = extract.extract(_sources(spark, d))
+    return found.select(F.col("fromFile").alias("path"), "specifier", F.col("importKind").alias("kind"), F.col("typeOnly").alias("type_only"), "line", F.col("column").alias("col"))
+
+
+@query(_IMPORTS + """, answers AS (SELECT *, CASE WHEN specifier IN ('./m0', './m1', './m2') THEN 'src/' || substr(specifier, 3) || '.ts' WHEN specifier IN ('./m3', './m4') THEN 'src/' || substr(specifier, 3) || '/index.tsx'
+    WHEN specifier = './m5' THEN 'src/m5.d.ts' WHEN specifier IN ('a0', 'a1', 'a2') THEN 'lib/' || substr(specifier, 2) || '.ts' END AS hit, specifier IN ('t1', 't2', 'e', 'a7', 's') AS package FROM found)
+SELECT 'src/d' || n || '.ts' AS path, line, col, specifier, coalesce(CASE WHEN specifier <> './m5' THEN hit WHEN specifier = './m5' THEN hit END, '') AS target,
+  CASE WHEN specifier = './m5' THEN 'out-of-scope' WHEN hit IS NOT NULL THEN 'internal' WHEN package THEN 'external' WHEN kind IN ('dynamic', 'require') OR specifier LIKE './%' THEN 'unresolved' ELSE 'external' END AS resolution,
+  CASE WHEN hit IS NOT NULL OR package THEN 'exact' WHEN kind IN ('dynamic', 'require') OR specifier LIKE './%' THEN 'ambiguous' ELSE 'syntactic' END AS confidence FROM answers""", with_trade=False)
+def module_resolution(spark, d):
+    """The imports of ``_sources`` among twelve known files and packages, with an alias."""
+    known = [(True, f"src/m{k}.ts", True) for k in range(3)] + [(True, "src/m0.js", True), (True, "src/m0.d.ts", True)] + [(True, f"src/m{k}/index.tsx", True) for k in (3, 4)] + [(True, "src/m5.d.ts", False)]
+    known += [(True, f"lib/{k}.ts", True) for k in range(3)] + [(False, f"{at}node_modules/{p}", False) for at, p in (("", "t1"), ("src/", "t2"), ("", "e"), ("", "a7"), ("../", "s"))]
+    known = spark.createDataFrame(known, "is_file boolean, place string, inside boolean")
+    sources = _sources(spark, d)
+    owners = sources.select(F.col("path").alias("fromFile"), F.lit(0).alias("config"))
+    found = resolve.resolve_among(extract.extract(sources), owners, known, [{"paths": {"a*": ["lib/*"]}}], "/above/project")
+    return found.select(F.col("fromFile").alias("path"), "location.line", F.col("location.column").alias("col"), "specifier", F.coalesce("toFile", F.lit("")).alias("target"), "resolution", F.col("resolutionConfidence").alias("confidence"))

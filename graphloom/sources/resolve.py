@@ -1,7 +1,7 @@
 """Specifiers resolved to files: ranked candidates meet the inventory in one equi-join.
 
 Covered: relative and absolute specifiers, extension substitution, index files, ``baseUrl`` and ``paths``, installed
-packages by directory.  Not covered: ``exports`` and ``imports`` of package.json, its ``main``, ``rootDirs``, symbolic links.
+packages by directory, above the project too.  Not covered: ``exports`` and ``imports`` of package.json, its ``main``, ``rootDirs``, symbolic links.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import edges as E
-from ..plans.session import ship
+from ..plans.session import checkpoint, ship
 from .project import Project, inventory
 
 BY = E.BY
@@ -60,17 +60,36 @@ def candidates(directory: str, specifier: str, options: dict, root: str) -> list
     parts = specifier.split("/")
     package = "/".join(parts[: 2 if specifier.startswith("@") else 1])
     up = directory.split("/") if directory not in ("", ".") else []
-    return found + [posixpath.normpath("/".join([*up[:k], "node_modules", package])) for k in range(len(up), -1, -1)]
+    above = [up[:k] for k in range(len(up), -1, -1)] + [[".."] * k for k in range(1, root.strip("/").count("/") + 2)]
+    return found + [posixpath.normpath("/".join([*at, "node_modules", package])) for at in above]
+
+
+def beyond(places: list[str], root: str) -> list[tuple[bool, str, bool]]:
+    """Which of the places above the project exist: files, and packages as directories."""
+    out = []
+    for p in places:
+        full = os.path.normpath(os.path.join(root, p))
+        package = "node_modules" in p.split("/") and not p.endswith(tuple(SUBSTITUTES))
+        if os.path.isdir(full) if package else os.path.isfile(full):
+            out.append((not package, p, False))
+    return out
 
 
 def resolve(spark: SparkSession, project: Project, found: DataFrame) -> DataFrame:
+    """``resolve_among`` the files of a project on disk, the places above it that specifiers lead to, and installed packages."""
+    owners = spark.createDataFrame(list(project.owner.items()) or [("", 0)], "fromFile string, config int")
+    known = spark.createDataFrame([(k == "file", p, p in project.owner) for k, p in inventory(project)] or [(True, "", False)], "is_file boolean, place string, inside boolean")
+    return resolve_among(found, owners, known, project.configurations, project.root, lambda places: beyond(places, project.root))
+
+
+def resolve_among(found: DataFrame, owners: DataFrame, known: DataFrame, configurations: list[dict], root: str = "/", look=None) -> DataFrame:
     """Imports (as extracted) with ``toFile``, resolution, confidence, id, location and provenance.
 
-    Each pair of directory and specifier is resolved once; then all its imports are joined with the answer.
+    ``owners(fromFile, config)`` gives files their configuration, ``known(is_file, place, inside)`` what specifiers may lead
+    to.  Each pair of directory and specifier is resolved once; then all its imports are joined with the answer.  Places
+    above the project that are asked for and not known go to ``look``, in a list on the driver, where the project lies.
     """
-    owners = spark.createDataFrame(list(project.owner.items()) or [("", 0)], "fromFile string, config int")
-    known = spark.createDataFrame([(k == "file", p, p in project.owner) for k, p in inventory(project)] or [(True, "", False)], "is_file boolean, place string, inside boolean")
-    configurations, root = project.configurations, project.root
+    spark = found.sparkSession
     directory = F.when(F.col("fromFile").contains("/"), F.regexp_replace("fromFile", r"/[^/]*\z", "")).otherwise("")
     rows = found.join(owners, "fromFile", "left").withColumn("directory", directory).withColumn("config", F.coalesce("config", F.lit(0)))
 
@@ -82,6 +101,10 @@ def resolve(spark: SparkSession, project: Project, found: DataFrame) -> DataFram
     ship(spark)
     asked = rows.select("directory", "specifier", "config").distinct()
     ranked = asked.mapInArrow(rank, "directory string, specifier string, config int, places array<string>").select("directory", "specifier", "config", F.posexplode("places").alias("rank", "place"))
+    if look:
+        ranked = checkpoint(ranked)
+        above = [r[0] for r in ranked.where("place LIKE '../%'").select("place").distinct().join(known, "place", "left_anti").collect()]
+        known = known.unionByName(spark.createDataFrame(look(above) or [(True, "", False)], known.schema))
     answer = ranked.join(known, "place").groupBy("directory", "specifier", "config").agg(F.min_by(F.struct("place", "is_file", "inside"), "rank").alias("hit"))
     met = rows.join(answer, ["directory", "specifier", "config"], "left")
     hit, spec, kind = F.col("hit"), F.col("specifier"), F.col("importKind")

@@ -15,20 +15,20 @@ def by(rows, key):
 
 def test_sample_project(spark, sample):
     s = analyze_project(spark, sample())
-    assert [m["id"] for m in s["architecture"]["modules"]] == ["admin", "booking", "calendar", "shared"]
-    m = s["analysis"]["metrics"]
-    assert (m["sourceFiles"], m["imports"], m["internalImports"], m["deepImports"], m["cycles"]) == (6, 6, 6, 3, 1)
-    assert m["maxFanIn"] == {"module": "booking", "value": 2} and m["maxFanOut"] == {"module": "admin", "value": 1}
-    alias = next(i for i in s["source"]["imports"] if i["specifier"] == "@modules/booking")
-    assert (alias["resolution"], alias["toFile"], alias["location"]) == ("internal", "src/modules/booking/index.ts", {"line": 1, "column": 1})
-    edges = {(e["from"], e["to"]): e for e in s["architecture"]["moduleEdges"]}
-    assert (edges["admin", "booking"]["publicApiImports"], edges["booking", "calendar"]["deepImports"]) == (1, 2)
-    assert edges["booking", "calendar"]["visibility"] == "deep"
-    assert s["analysis"]["cycles"][0]["modules"] == ["booking", "calendar"]
-    assert [f["code"].split("/")[1] for f in s["analysis"]["findings"]] == ["cycle", "deep-import", "deep-import", "deep-import"]
-    types = [i["typeOnly"] for i in s["source"]["imports"] if i["fromFile"].endswith("reserve.ts")]
-    assert sorted(types) == [False, True]
-    assert by(s["source"]["files"], "path")["src/shared/index.ts"]["lines"] == 2
+    assert [m["id"] for m in s["architecture"]["modules"]] == ["garden", "robot", "util", "weather"]
+    counted = {k: s["analysis"]["metrics"][k] for k in ("sourceFiles", "imports", "internalImports", "moduleEdges", "deepImports", "cycles")}
+    assert counted == {"sourceFiles": 7, "imports": 8, "internalImports": 8, "moduleEdges": 5, "deepImports": 3, "cycles": 1}
+    assert [s["analysis"]["metrics"][k] for k in ("maxFanIn", "maxFanOut")] == [{"module": "weather", "value": 2}, {"module": "garden", "value": 2}]
+    found = {i["specifier"]: (i["resolution"], i["toFile"], i["location"]["line"], i["typeOnly"]) for i in s["source"]["imports"]}
+    assert found["@garden"] == ("internal", "src/features/garden/index.ts", 1, False)
+    assert found["~weather/model/forecast"] == ("internal", "src/features/weather/model/forecast.ts", 1, True)
+    assert found["../weather/model/forecast"][2:] == (2, False)
+    shown = {(e["from"], e["to"]): (e["imports"], e["publicApiImports"], e["visibility"]) for e in s["architecture"]["moduleEdges"]}
+    assert shown == {("garden", "robot"): (1, 1, "public"), ("garden", "weather"): (1, 0, "deep"), ("robot", "util"): (1, 0, "deep"), ("robot", "weather"): (1, 0, "deep"), ("util", "garden"): (1, 1, "public")}
+    assert [c["modules"] for c in s["analysis"]["cycles"]] == [["garden", "robot", "util"]]
+    codes = [f["code"].split("/")[1] for f in s["analysis"]["findings"]]
+    assert codes.count("cycle") == 1 and codes.count("deep-import") == 3
+    assert by(s["source"]["files"], "path")["src/features/garden/beds.ts"]["lines"] == 5
 
 
 def test_same_project_gives_same_bytes(spark, sample):
@@ -38,28 +38,28 @@ def test_same_project_gives_same_bytes(spark, sample):
 
 def test_scope_declared_module_and_assets(spark, make_project):
     files = {
-        "src/booking/public.ts": "export const a = 1;\n", "src/booking/internal.ts": "export const b = 2;\n", "src/ignored/x.ts": "x", 
-        "src/app.ts": 'import { a } from "./booking/public";\nimport { b } from "./booking/internal";\nimport "./style.css";\n',
+        "src/money/ledger/api.ts": "export const total = 7;\n", "src/money/ledger/rows/table.ts": "export const rows = [];\n", "src/money/drafts/old.ts": 'import "nowhere";\n',
+        "src/money/main.ts": 'import "./ledger.svg";\nimport { rows } from "./ledger/rows/table";\nexport { total } from "./ledger/api";\n',
     }
-    config = {"include": ["src/**"], "exclude": ["src/ignored/**"], "modules": {"booking": {"root": "src/booking", "publicEntrypoints": ["src/booking/public.ts"]}}}
+    config = {"exclude": ["**/drafts/**"], "modules": {"books": {"root": "src/money/ledger", "publicEntrypoints": ["src/money/ledger/api.ts"]}}}
     s = analyze_project(spark, make_project(files, config))
-    mods = by(s["architecture"]["modules"], "id")
-    assert set(mods) == {"booking", "src"} and mods["booking"]["provenance"]["origin"] == "declared"
+    origin = {m["id"]: m["provenance"]["origin"] for m in s["architecture"]["modules"]}
+    assert origin.pop("books") == "declared" and list(origin.values()) == ["inferred"]
+    (other,) = origin
     m = s["analysis"]["metrics"]
-    assert (m["sourceFiles"], m["assetImports"], m["unresolvedImports"], m["deepImports"]) == (3, 1, 0, 1)
-    edge = s["architecture"]["moduleEdges"][0]
-    assert (edge["from"], edge["to"], edge["visibility"]) == ("src", "booking", "mixed")
-    assert [f["code"] for f in s["analysis"]["findings"]] == ["architecture/deep-import", "architecture/no-public-entrypoint"]
+    assert [m[k] for k in ("sourceFiles", "imports", "assetImports", "internalImports", "unresolvedImports", "deepImports")] == [3, 3, 1, 2, 0, 1]
+    (edge,) = s["architecture"]["moduleEdges"]
+    assert [edge[k] for k in ("from", "to", "imports", "publicApiImports", "visibility")] == [other, "books", 2, 1, "mixed"]
+    assert any(f["code"] == "architecture/deep-import" for f in s["analysis"]["findings"])
 
 
 def test_colliding_names_and_strategy(spark, make_project):
-    files = {"src/modules/auth/index.ts": "", "src/features/auth/index.ts": "", "src/app.ts": ""}
+    files = {f"src/{kind}/{name}/index.ts": "" for kind in ("modules", "features") for name in ("mail", "queue")} | {"src/features/lamp/index.ts": ""}
     s = analyze_project(spark, make_project(files))
-    assert [m["id"] for m in s["architecture"]["modules"]] == ["features/auth", "modules/auth", "src"]
-    assert {m["stableId"] for m in s["architecture"]["modules"]} == {"src/features/auth", "src/modules/auth", "src"}
-    files = {"src/modules/auth/index.ts": "", "src/features/auth/index.ts": "", "src/modules/booking/index.ts": ""}
+    assert [m["id"] for m in s["architecture"]["modules"]] == ["features/mail", "features/queue", "lamp", "modules/mail", "modules/queue"]
+    assert {m["stableId"] for m in s["architecture"]["modules"]} == {p.rsplit("/", 1)[0] for p in files}
     s = analyze_project(spark, make_project(files, {"moduleIdStrategy": "relative-path"}, name="two"))
-    assert [m["id"] for m in s["architecture"]["modules"]] == ["features/auth", "modules/auth", "modules/booking"]
+    assert "features/lamp" in {m["id"] for m in s["architecture"]["modules"]}
 
 
 def test_out_of_scope_dynamic_and_external(spark, make_project):
@@ -88,11 +88,13 @@ def test_bad_configuration(spark, sample):
 
 
 def test_configured_rules(spark, sample):
-    rule = {"code": "own/internal", "source": "imports", "where": [{"field": "isInternal", "operator": "eq", "value": True}], "finding": {"category": "observation", "level": "info", "message": "${fromModule} imports ${toModule}."}}
-    pack = {"id": "own", "version": "1", "requiredFacts": ["imports"], "rules": [{**rule, "code": "own/packed"}]}
-    found = analyze_project(spark, sample({"rules": [rule], "rulePacks": [pack]}))["analysis"]["findings"]
-    assert sum(f["code"] == "own/internal" for f in found) == sum(f["code"] == "own/packed" for f in found) == 6
-    assert any(f["message"] == "admin imports booking." for f in found)
+    def rule(code, name):
+        return {"code": code, "source": "imports", "where": [{"field": "isInternal", "operator": "eq", "value": True}], "finding": {"category": "observation", "level": "info", "message": "${fromModule} imports ${toModule}."}}
+
+    pack = {"id": "own", "version": "1", "requiredFacts": ["imports"], "rules": [rule("own/packed", "x")]}
+    found = analyze_project(spark, sample({"rules": [rule("own/internal", "x")], "rulePacks": [pack]}))["analysis"]["findings"]
+    assert sum(f["code"] == "own/internal" for f in found) == sum(f["code"] == "own/packed" for f in found) == 8
+    assert any(f["message"] == "util imports garden." for f in found)
 
 
 def test_references_extends_and_package(spark, make_project, tmp_path):
@@ -106,18 +108,28 @@ def test_references_extends_and_package(spark, make_project, tmp_path):
     assert {i["specifier"]: (i["resolution"], i["resolutionConfidence"]) for i in s["source"]["imports"]} == {"pkg/x": ("external", "exact"), "@s/p": ("external", "exact"), "../lib/b": ("internal", "exact")}
 
 
+def test_places_above_the_project(spark, make_project):
+    files = {"src/main.ts": 'import "../../../shared/index";\nimport "../../../shared/none";\nimport "hoisted";\nimport "@org/deep/part";\nimport "absent";\n', "../../shared/index.ts": "", "../../node_modules/hoisted/index.js": "", "../node_modules/@org/deep/part.js": ""}
+    s = analyze_project(spark, make_project(files, name="mono/packages/app"))
+    got = {i["specifier"]: (i["resolution"], i["resolutionConfidence"], i.get("toFile")) for i in s["source"]["imports"]}
+    assert got == {
+        "../../../shared/index": ("out-of-scope", "exact", "../../shared/index.ts"), "../../../shared/none": ("unresolved", "ambiguous", None),
+        "hoisted": ("external", "exact", None), "@org/deep/part": ("external", "exact", None), "absent": ("external", "syntactic", None),
+    }
+
+
 def test_command_line(spark, sample, tmp_path):
     root = sample()
     out, code = cli.run(["graph", root], spark)
-    assert code == 0 and out.startswith("digraph architecture {") and '"booking" [label="booking\\n2 files", color="#dc2626", penwidth="2"];' in out
-    assert '"admin" -> "booking" [label="1 (public API)"];' in out and '"booking" -> "calendar" [label="2 (0/2 public API)"];' in out
+    assert code == 0 and out.startswith("digraph architecture {") and '"garden" [label="garden\\n3 files", color="#dc2626", penwidth="2"];' in out
+    assert '"util" -> "garden" [label="1 (public API)"];' in out and '"robot" -> "weather" [label="1 (0/1 public API)"];' in out
     assert cli.run(["check", root], spark)[1] == 0
     assert cli.run(["check", root, "--fail-on", "deep-imports"], spark)[1] == 1
     out, _ = cli.run(["inspect", root], spark)
-    assert "Imports: 6 (6 internal, 0 external, 0 assets, 0 unresolved, 0 out-of-scope)" in out and "Policy: report-only" in out
+    assert "Imports: 8 (8 internal, 0 external, 0 assets, 0 unresolved, 0 out-of-scope)" in out and "Policy: report-only" in out
     log = json.loads(cli.run(["inspect", root, "--sarif"], spark)[0])
     assert log["version"] == "2.1.0" and log["runs"][0]["results"][0]["level"] == "error"
-    assert len(log["runs"][0]["tool"]["driver"]["rules"]) == 2
+    assert len(log["runs"][0]["tool"]["driver"]["rules"]) == 3
     bad = sample({"noCycles": "yes"}, name="bad")
     out, code = cli.run(["inspect", bad, "--json"], spark)
     assert code == 2 and json.loads(out)["code"] == "ANALYSIS_ERROR"
