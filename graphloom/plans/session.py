@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
+#: Rows, and bytes, that a batch between Spark and a Python worker holds, where the session has Spark's own defaults: whole
+#: texts travel in them, on both sides and outside the heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that Python operators import there."""
+    """Send this package to the executors once per application, so that Python operators import there; bound their batches."""
     sc = spark.sparkContext
+    for name, (default, own) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, own)
     if not getattr(sc, "_graphloom_shipped", False):
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
