@@ -164,8 +164,8 @@ def blocks(texts: list[bytes], most: int = 1_000_000):
         yield np.array(owners), pieces
 
 
-def summed(parts: DataFrame) -> DataFrame:
-    """Add float32 vectors ``value`` (binary) of equal ``block``: first by task, then by block.
+def summed(rows: DataFrame, run) -> DataFrame:
+    """Add the float32 vectors ``value`` (binary) of equal ``block`` that ``run`` makes of batches: first by task, then by block.
 
     What a task has made goes to one of the shuffle's partitions as a whole; each adds up as a stream what it is dealt, so
     that a block then meets as many parts as there are partitions, however many tasks there were.
@@ -173,7 +173,7 @@ def summed(parts: DataFrame) -> DataFrame:
 
     def numbered(batches):
         task = TaskContext.get().partitionId()
-        for b in batches:
+        for b in run(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task, np.int32))], names=["block", "value", "task"])
 
     def add(batches):
@@ -188,5 +188,5 @@ def summed(parts: DataFrame) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["block", "value"])
 
-    by_task = mapped(parts, numbered, "block int, value binary, task int").repartition("task").select("block", "value").mapInArrow(add, "block int, value binary")
+    by_task = mapped(rows, numbered, "block int, value binary, task int").repartition("task").select("block", "value").mapInArrow(add, "block int, value binary")
     return by_task.repartition("block").mapInArrow(add, "block int, value binary")

@@ -46,7 +46,7 @@ def word_vectors(docs: DataFrame, buckets: int = 16_384, dims: int = 32, window:
         size = buckets * dims // BLOCKS
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([total[k * size : (k + 1) * size].astype(np.float32).tobytes() for k in range(BLOCKS)], pa.binary())], names=["block", "value"])
 
-    parts = common.summed(common.mapped(docs.select("text"), run, "block int, value binary")).collect()
+    parts = common.summed(docs.select("text"), run).collect()
     out = np.zeros((BLOCKS, buckets * dims // BLOCKS), np.float32)
     for r in parts:
         out[r["block"]] = np.frombuffer(r["value"], np.float32)

@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, folds: int = 5,
         if n.any():
             yield pa.RecordBatch.from_arrays([pa.array([*range(quality.BLOCKS), -1], pa.int32()), pa.array([*(t.tobytes() for t in total), n.astype(np.float32).tobytes()], pa.binary())], names=["block", "value"])
 
-    counted = {r["block"]: np.frombuffer(r["value"], np.float32) for r in common.summed(common.mapped(sample, bins, "block int, value binary")).collect()}
+    counted = {r["block"]: np.frombuffer(r["value"], np.float32) for r in common.summed(sample, bins).collect()}
     n_neg, n_pos = map(float, counted.pop(-1, np.zeros(2)))
     counts = np.zeros((quality.BLOCKS, 2, half))
     for k, value in counted.items():
