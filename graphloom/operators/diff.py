@@ -28,17 +28,22 @@ def diff_collection(before: DataFrame, after: DataFrame, key: Column | str, afte
 
     Of rows with equal keys the last by ``order`` counts (without it, the greatest).  Rows are equal if all their columns
     are, apart from ``leave_out``; null equals null.  Keys must not be null.  One full outer join on the key: both sides
-    are shuffled once, already reduced to a row per key.
+    are shuffled once, already reduced to a row per key; what is compared is made of the rows where they meet.
     """
-    sides = []
-    for df, k in ((before, key), (after, key if after_key is None else after_key)):
-        row = F.struct(*[c for c in df.columns if c != order])
-        shape = comparable(row, T.StructType([f for f in df.schema.fields if f.name != order]), leave_out)
-        kept = df.select((F.col(k) if isinstance(k, str) else k).alias("key"), row.alias("row"), shape.alias("same"), F.struct(*([F.col(order)] if order else []), shape.alias("s")).alias("ord"))
-        sides.append(kept.groupBy("key").agg(F.max_by(F.struct("row", "same"), "ord").alias("r")).select("key", "r.row", "r.same"))
-    a, b = (s.select("key", F.col("row").alias(n), F.col("same").alias(f"{n}_same")) for s, n in zip(sides, ("before", "after")))
-    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(~F.col("before_same").eqNullSafe(F.col("after_same")), "changed")
-    return a.join(b, "key", "full_outer").withColumn("change", change).where("change IS NOT NULL").select("change", "key", "before", "after")
+    sides, shapes = [], []
+    for df, k, name in ((before, key, "before"), (after, key if after_key is None else after_key, "after")):
+        kind = T.StructType([f for f in df.schema.fields if f.name != order])
+        row, whole = F.struct(*kind.names), not leave_out and not any(isinstance(f.dataType, T.MapType) for f in kind)
+        kept = df.select((F.col(k) if isinstance(k, str) else k).alias("key"), row.alias("row"), *([F.col(order).alias("__order")] if order else []))
+        rank = [F.col("__order")] if order else []
+        if whole:
+            last = F.max(F.struct(*rank, "row"))["row"]
+        else:
+            last = F.max_by("row", F.struct(*rank, comparable(F.col("row"), kind, leave_out)))
+        sides.append(kept.groupBy("key").agg(last.alias(name)))
+        shapes.append(comparable(F.col(name), kind, leave_out))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(~shapes[0].eqNullSafe(shapes[1]), "changed")
+    return sides[0].join(sides[1], "key", "full_outer").withColumn("change", change).where("change IS NOT NULL").select("change", "key", "before", "after")
 
 
 def module_keys(modules: DataFrame) -> DataFrame:
