@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import checkpoint as cut
-from ..plans.session import ship
+from ..plans.session import ship, written
 from . import edges as E
 
 BY = E.BY
@@ -57,12 +57,19 @@ def _local(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(BY).applyInPandas(run, f"{BY} string, module string, component string")
 
 
-def _spread(pairs: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
-    """Smallest label of ``start(snapshot_id, module, label)`` that reaches each node along the pairs, to the end."""
-    labels, state = start, None
+def _spread(pairs: DataFrame, source: str, target: str) -> DataFrame:
+    """``(snapshot_id, module, label)``: the smallest node that reaches each node along the pairs, itself included.
+
+    What reaches a node's label reaches the node, too: after each step every node also takes its label's label, so that
+    labels cross long paths by doubling.
+    """
+    nodes = pairs.select(BY, F.explode(F.array("from", "to")).alias("module")).distinct()
+    labels, state = nodes.withColumn("label", F.col("module")), None
     while True:
-        sent = pairs.join(labels.withColumnRenamed("module", source), [BY, source]).select(BY, F.col(target).alias("module"), "label")
-        labels = cut(labels.unionByName(sent).groupBy(BY, "module").agg(F.min("label").alias("label")))
+        sent = pairs.select(BY, "from", "to").join(labels.withColumnRenamed("module", source), [BY, source]).select(BY, F.col(target).alias("module"), "label")
+        near = written(labels.unionByName(sent).groupBy(BY, "module").agg(F.min("label").alias("label")), "near")
+        beyond = near.select(BY, F.col("module").alias("at"), F.col("label").alias("further"))
+        labels = written(near.withColumnRenamed("label", "at").join(beyond, [BY, "at"]).select(BY, "module", F.least("at", "further").alias("label")), "labels")
         now = labels.agg(F.count("*"), F.expr("bit_xor(xxhash64(*))")).first()
         if now == state:
             return labels
@@ -70,26 +77,35 @@ def _spread(pairs: DataFrame, start: DataFrame, source: str, target: str) -> Dat
 
 
 def _distributed(pairs: DataFrame) -> DataFrame:
-    """Colour by the smallest node that reaches each node; a colour's component is what reaches its root in turn.
+    """The smallest node that reaches a node and the smallest that it reaches are equal only in that node's component.
 
-    Nodes that get no component stay for the next round, with the links among them.
+    A component has both in common, so only links whose ends agree in both stay for the next round; a node without
+    such links is alone.  The first node's component is found in each round, and paths fall apart at once.
+    Nodes are ordered by hashes: along a path in order of names, labels would move by one node a round.
     """
-    found, left = None, cut(pairs.select(BY, "from", "to").distinct())
+    mixed = lambda end: F.concat(F.lpad(F.hex(F.xxhash64(end)), 16, "0"), F.col(end)).alias(end)
+    found, left = None, cut(pairs.where("from <> to").select(BY, mixed("from"), mixed("to")).distinct())
     while not left.isEmpty():
-        nodes = left.select(BY, F.explode(F.array("from", "to")).alias("module")).distinct()
-        colour = _spread(left, nodes.withColumn("label", F.col("module")), "from", "to")
-        ends = left.join(colour.select(BY, F.col("module").alias("from"), F.col("label").alias("c")), [BY, "from"]).join(colour.select(BY, F.col("module").alias("to"), F.col("label").alias("d")), [BY, "to"])
-        same = cut(ends.where("c = d").select(BY, "from", "to", "c"))
-        back = _spread(same, colour.where("module = label"), "to", "from")
-        own = cut(back.join(colour.select(BY, "module", F.col("label").alias("c")), [BY, "module"]).where("label = c").select(BY, "module", F.col("label").alias("component")))
-        found = own if found is None else cut(found.unionByName(own))
-        done = own.select(BY, "module")
-        left = cut(left.join(done.withColumnRenamed("module", "from"), [BY, "from"], "left_anti").join(done.withColumnRenamed("module", "to"), [BY, "to"], "left_anti"))
+        same = written(_agreeing(left, _spread(left, "from", "to")), "same")
+        back = _spread(same, "to", "from")
+        ends = same.select(BY, F.explode(F.array("from", "to")).alias("module"), F.col("label").alias("component")).distinct()
+        own = ends.join(back, [BY, "module"]).where("label = component").select(BY, "module", "component")
+        found = written(own if found is None else found.unionByName(own), "found")
+        left = written(_agreeing(same.withColumnRenamed("label", "c"), back).where("label <> c").select(BY, "from", "to"), "left")
     nodes = pairs.select(BY, F.explode(F.array("from", "to")).alias("module")).distinct()
-    found = nodes.withColumn("component", F.col("module")).limit(0) if found is None else found
+    if found is None:
+        return nodes.withColumn("component", F.col("module"))
+    found = found.select(BY, F.expr("substr(module, 17)").alias("module"), F.col("component").alias("c"))
+    found = found.join(found.groupBy(BY, "c").agg(F.min("module").alias("component")), [BY, "c"]).drop("c")
     return nodes.join(found, [BY, "module"], "left").withColumn("component", F.coalesce("component", "module"))
 
 
+def _agreeing(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links whose ends have the same label, with it."""
+    a, b = (labels.select(BY, F.col("module").alias(end), F.col("label").alias(name)) for end, name in (("from", "label"), ("to", "other")))
+    return links.join(a, [BY, "from"]).join(b, [BY, "to"]).where("label = other").drop("other")
+
+
 def strong_components(pairs: DataFrame, local: int = 200_000) -> DataFrame:
     """``(snapshot_id, module, component)`` of every end of ``pairs(snapshot_id, from, to)``; component: its smallest module.
 

@@ -55,21 +55,43 @@ def owned_imports(imports: DataFrame, ownership: DataFrame, entrypoints: DataFra
     return met.withColumn("isPublicApi", F.coalesce("isPublicApi", F.lit(False)))
 
 
+def _crossing(owned: DataFrame) -> DataFrame:
+    return owned.where("resolution = 'internal' AND toFile IS NOT NULL AND fromModule <> toModule")
+
+
+def _visibility() -> Column:
+    return F.when((F.col("publicApiImports") > 0) & (F.col("deepImports") > 0), "mixed").when(F.col("publicApiImports") > 0, "public").otherwise("deep")
+
+
+def edge_counts(owned: DataFrame) -> DataFrame:
+    """A row per pair of different modules of internal imports: id, from, to, counts, number of files, visibility.
+
+    Counted by file first and then by pair, both with partial sums: no row grows with the imports of a pair.
+    """
+    by_file = _crossing(owned).groupBy(BY, F.col("fromModule").alias("from"), F.col("toModule").alias("to"), "fromFile").agg(F.count("*").alias("n"), F.count_if("isPublicApi").alias("p"))
+    sums = by_file.groupBy(BY, "from", "to").agg(F.sum("n").alias("imports"), F.sum("p").alias("publicApiImports"), F.sum(F.col("n") - F.col("p")).alias("deepImports"), F.count("*").alias("files"))
+    return sums.select(BY, F.concat_ws("\0", "from", "to").alias("id"), "from", "to", "imports", "publicApiImports", "deepImports", "files", _visibility().alias("visibility"))
+
+
+def edge_members(owned: DataFrame) -> DataFrame:
+    """``(snapshot_id, from, to, id, fromFile)``: the imports that each module edge is made of, a row each."""
+    return _crossing(owned).select(BY, F.col("fromModule").alias("from"), F.col("toModule").alias("to"), "id", "fromFile").distinct()
+
+
 def module_edges(owned: DataFrame) -> DataFrame:
-    """A row per pair of different modules of internal imports: counts, files, edge ids, visibility, provenance.
+    """``edge_counts`` as documents hold them: with the lists of files and edge ids, and provenance.
 
-    Evidence keeps the order in which imports were read (column ``ord``, if there is one, else their ids).
+    A row holds all ids of its pair, as the document does; what needs counts alone takes ``edge_counts``, what needs ids
+    at any size ``edge_members``.  Evidence keeps the order in which imports were read (column ``ord``, if there is one, else their ids).
     """
     order = F.col("ord") if "ord" in owned.columns else F.col("id")
-    cross = owned.where("resolution = 'internal' AND toFile IS NOT NULL AND fromModule <> toModule")
-    grouped = cross.groupBy(BY, F.col("fromModule").alias("from"), F.col("toModule").alias("to")).agg(
+    grouped = _crossing(owned).groupBy(BY, F.col("fromModule").alias("from"), F.col("toModule").alias("to")).agg(
         F.count("*").alias("imports"), F.count_if("isPublicApi").alias("publicApiImports"), F.count_if(~F.col("isPublicApi")).alias("deepImports"),
         F.array_sort(F.collect_set("fromFile")).alias("files"), F.array_sort(F.collect_set("id")).alias("sourceEdgeIds"),
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("id").alias("id")))), lambda x: x["id"])).alias("read"),
     )
-    seen = F.when((F.col("publicApiImports") > 0) & (F.col("deepImports") > 0), "mixed").when(F.col("publicApiImports") > 0, "public").otherwise("deep")
     proof = F.transform("read", lambda i: evidence("source-edge", i))
-    return grouped.select(BY, F.concat_ws("\0", "from", "to").alias("id"), "from", "to", "imports", "publicApiImports", "deepImports", "files", "sourceEdgeIds", seen.alias("visibility"), provenance("derived", "module-projection", evidence=proof, derived=F.col("sourceEdgeIds")).alias("provenance"))
+    return grouped.select(BY, F.concat_ws("\0", "from", "to").alias("id"), "from", "to", "imports", "publicApiImports", "deepImports", "files", "sourceEdgeIds", _visibility().alias("visibility"), provenance("derived", "module-projection", evidence=proof, derived=F.col("sourceEdgeIds")).alias("provenance"))
 
 
 def fans(modules: DataFrame, edges: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def _edges(spark, d) -> DataFrame:
-    return E.module_edges(trade.owned(spark, d))
+    return E.edge_counts(trade.owned(spark, d))
 
 
 # ---------------------------------------------------------------- edges and metrics
@@ -52,13 +52,18 @@ def _edges(spark, d) -> DataFrame:
 
 @query("SELECT fromModule AS src, toModule AS dst, imports, publicApi AS public_api, deep, files AS n_files, CASE WHEN publicApi > 0 AND deep > 0 THEN 'mixed' WHEN publicApi > 0 THEN 'public' ELSE 'deep' END AS visibility FROM edges")
 def module_edges(spark, d):
-    return _edges(spark, d).select(F.col("from").alias("src"), F.col("to").alias("dst"), "imports", F.col("publicApiImports").alias("public_api"), F.col("deepImports").alias("deep"), F.size("files").cast("long").alias("n_files"), "visibility")
+    return _edges(spark, d).select(F.col("from").alias("src"), F.col("to").alias("dst"), "imports", F.col("publicApiImports").alias("public_api"), F.col("deepImports").alias("deep"), F.col("files").alias("n_files"), "visibility")
 
 
 @query(", ids AS (SELECT DISTINCT fromModule, toModule, id FROM owned WHERE resolution = 'internal' AND fromModule <> toModule) SELECT fromModule AS src, toModule AS dst, count(*) AS n_ids, sha256(string_agg(id, ';' ORDER BY id)) AS ids FROM ids GROUP BY ALL")
 def edge_provenance(spark, d):
     derived = F.col("provenance.derivedFrom")
-    return _edges(spark, d).select(F.col("from").alias("src"), F.col("to").alias("dst"), F.size(derived).cast("long").alias("n_ids"), F.sha2(F.array_join(derived, ";"), 256).alias("ids"))
+    return E.module_edges(trade.owned(spark, d)).select(F.col("from").alias("src"), F.col("to").alias("dst"), F.size(derived).cast("long").alias("n_ids"), F.sha2(F.array_join(derived, ";"), 256).alias("ids"))
+
+
+@query("SELECT DISTINCT fromModule AS src, toModule AS dst, id, fromFile AS file FROM owned WHERE resolution = 'internal' AND fromModule <> toModule")
+def edge_members(spark, d):
+    return E.edge_members(trade.owned(spark, d)).select(F.col("from").alias("src"), F.col("to").alias("dst"), "id", F.col("fromFile").alias("file"))
 
 
 @query("SELECT CASE WHEN publicApi > 0 AND deep > 0 THEN 'mixed' WHEN publicApi > 0 THEN 'public' ELSE 'deep' END AS visibility, count(*) AS n FROM edges GROUP BY 1")
@@ -90,7 +95,7 @@ def max_fan_out(spark, d):
 
 def _metrics(spark, d, rows=None):
     owned = trade.owned(spark, d, rows)
-    edges, mods = G.cut(E.module_edges(owned).select("snapshot_id", "id", "from", "to", "deepImports")), trade.modules(spark, d)
+    edges, mods = G.cut(E.edge_counts(owned).select("snapshot_id", "id", "from", "to", "deepImports")), trade.modules(spark, d)
     return E.metrics(mods, trade.files(spark, d), mods, owned, edges, G.cycles(edges))
 
 
@@ -299,7 +304,7 @@ def sarif_rules(spark, d):
 def _daily(spark, d, rows=None) -> DataFrame:
     """Module edges of every day's imports, a snapshot each: the graph of all days together is one cycle."""
     owned = trade.owned(spark, d, rows).withColumn("snapshot_id", F.date_format("day", "yyyy-MM-dd"))
-    return E.module_edges(owned).select("snapshot_id", "id", "from", "to", "imports")
+    return E.edge_counts(owned).select("snapshot_id", "id", "from", "to", "imports")
 
 
 def _scc(name: str = "", where: str = "true") -> str:
@@ -389,7 +394,7 @@ def edge_diff_stable_key(spark, d):
     """Edges by stable keys; on the later side modules are renamed, which their keys outlive."""
     mods = trade.modules(spark, d)
     renamed = mods.withColumn("id", F.concat(F.lit("new:"), "id"))
-    before, after = (E.module_edges(trade.owned(spark, d, s)).select("from", "to", "imports") for s in _sides(spark, d))
+    before, after = (E.edge_counts(trade.owned(spark, d, s)).select("from", "to", "imports") for s in _sides(spark, d))
     after = after.select(F.concat(F.lit("new:"), "from").alias("from"), F.concat(F.lit("new:"), "to").alias("to"), "imports")
     a, b = D.with_edge_key(before, mods), D.with_edge_key(after, renamed)
     found = D.diff_collection(a, b, "key", leave_out=["from", "to", "key"])
@@ -478,7 +483,7 @@ def module_id_collisions(spark, d):
 @query(_CAND + " SELECT base_id AS id, root, count(*) AS n_files, count(*) FILTER (regexp_matches(path, '/index\\.')) AS n_entrypoints FROM cand GROUP BY ALL")
 def module_inference(spark, d):
     found, _ = M.infer_modules(trade.files(spark, d).select("snapshot_id", "path"), {"modules": {"far": {"root": "src/asia/nation_2"}}}, "src", ["src/asia", "src/europe", "src/africa"], "shop")
-    return found.select("id", "root", F.size("files").cast("long").alias("n_files"), F.size("entrypoints").cast("long").alias("n_entrypoints"))
+    return found.select("id", "root", F.col("files").alias("n_files"), F.size("entrypoints").cast("long").alias("n_entrypoints"))
 
 
 # ---------------------------------------------------------------- keys, selectors, more collections

@@ -113,6 +113,18 @@ def test_a_long_chain_is_no_recursion():
     assert len(set(G.components([(f"{k:05}", f"{k + 1:05}") for k in range(20_000)]).values())) == 20_001
 
 
+def test_long_circles_take_few_rounds(spark, monkeypatch):
+    names = [f"{k:02}" for k in range(60)]
+    ring = [("ring", a, b) for a, b in zip(names, names[1:] + names[:1])]
+    mixed = random.Random(3).sample(names, len(names))
+    ring += [("mixed", a, b) for a, b in zip(mixed, mixed[1:] + mixed[:1])] + [("path", a, b) for a, b in zip(names, names[1:])]
+    rounds, written = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, name: rounds.append(name) or written(df, name))
+    found = G.strong_components(spark.createDataFrame(ring, "snapshot_id string, from string, to string"), 0).collect()
+    assert {(r["snapshot_id"], r["module"]): r["component"] for r in found} == {(s, n): n if s == "path" else "00" for s in ("ring", "mixed", "path") for n in names}
+    assert rounds.count("labels") < 40
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], EDGES)
     assert G.cycles(none).count() == 0 and G.cycles(none, local=-1).count() == 0
