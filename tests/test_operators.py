@@ -3,6 +3,7 @@
 import copy
 import json
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -235,3 +236,25 @@ def test_shapes():
     assert "boundaryZones.z.from: Too small" in schemas.issues(schemas.CONFIG, {"boundaryZones": {"z": {"from": []}}})
     assert schemas.issues(schemas.CONFIG, {"moduleIdStrategy": "long"}) == 'moduleIdStrategy: Invalid option: expected one of "compact"|"relative-path"'
     assert "forbiddenDependencies.0.to" in schemas.issues(schemas.CONFIG, {"forbiddenDependencies": [{"from": "a"}]})
+
+
+def test_imports_without_target_are_dealt(spark):
+    """They have no key in common, so that no task gets all of them; what owners they have stays the same."""
+    rows = [("s", f"f{k}", f"f{k + 1}" if k % 4 == 0 else None) for k in range(400)] + [("s", "f1", "\0f3"), ("s", "f2", "away")]
+    imports = spark.createDataFrame(rows, "snapshot_id string, fromFile string, toFile string")
+    owners = spark.createDataFrame([("s", f"f{k}", f"m{k % 3}") for k in range(401)] + [("s", "\0f3", "odd")], "snapshot_id string, file string, module string")
+    public = owners.where("module = 'm1'").select("snapshot_id", "module", "file")
+    own = {r["file"]: r["module"] for r in owners.collect()}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = E.owned_imports(imports, owners, public).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted((f, t or "", own[f], own.get(t) or "", own.get(t) == "m1") for _, f, t in rows)
+    assert sorted((r["fromFile"], r["toFile"] or "", r["fromModule"], r["toModule"] or "", r["isPublicApi"]) for r in found) == want
+    sizes = Counter(r["task"] for r in found if r["toFile"] is None)
+    assert len(sizes) == 4 and max(sizes.values()) < 150
