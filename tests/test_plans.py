@@ -47,3 +47,8 @@ def test_forbidden_pairs(spark):
     pairs = [{"from": "a", "to": "b"}, {"from": "a", "to": "b", "message": "m"}, {"from": "c", "to": "c"}]
     assert sorted(tuple(r) for r in R.forbidden_records(records, pairs).collect()) == [("a", "b", True)] * 2 + [("c", "c", True)]
     assert R.forbidden_records(records, []).collect() == []
+
+
+def test_findings_are_counted_by_short_keys(spark):
+    assert any("unhex(sha2(" in x for x in plan(queries.finding_keys(spark, DATA)))
+    assert dict(queries.finding_keys(spark, DATA).dtypes) == {"key": "string", "n": "bigint"}
