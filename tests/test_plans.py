@@ -52,3 +52,9 @@ def test_forbidden_pairs(spark):
 def test_findings_are_counted_by_short_keys(spark):
     assert any("unhex(sha2(" in x for x in plan(queries.finding_keys(spark, DATA)))
     assert dict(queries.finding_keys(spark, DATA).dtypes) == {"key": "string", "n": "bigint"}
+
+
+@pytest.mark.parametrize("name", ["introduced_violations", "resolved_violations", "has_regressions"])
+def test_differences_carry_what_is_answered(spark, name):
+    rows = [x for x in plan(queries.QUERIES[name](spark, DATA)) if "Project [" in x and " AS row#" in x]
+    assert len(rows) == 2 and not any("provenance" in x or "data" in x for x in rows)
