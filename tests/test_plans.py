@@ -58,3 +58,12 @@ def test_findings_are_counted_by_short_keys(spark):
 def test_differences_carry_what_is_answered(spark, name):
     rows = [x for x in plan(queries.QUERIES[name](spark, DATA)) if "Project [" in x and " AS row#" in x]
     assert len(rows) == 2 and not any("provenance" in x or "data" in x for x in rows)
+
+
+def test_places_need_one_shuffle(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 37 % 500).alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    found = queries.numbered(rows, ["a", "b"], "place")
+    assert not any(x.strip(" :+-").startswith("Window") and "row_number" in x for x in plan(found))
+    got = [(r["place"], r["a"], r["b"]) for r in found.orderBy("place").collect()]
+    want = sorted((r["a"], r["b"]) for r in rows.collect())
+    assert got == [(k + 1, *r) for k, r in enumerate(want)] and set(found.columns) == {"a", "b", "place"} and dict(found.dtypes)["place"] == "bigint"
