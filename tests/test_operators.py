@@ -258,3 +258,35 @@ def test_imports_without_target_are_dealt(spark):
     assert sorted((r["fromFile"], r["toFile"] or "", r["fromModule"], r["toModule"] or "", r["isPublicApi"]) for r in found) == want
     sizes = Counter(r["task"] for r in found if r["toFile"] is None)
     assert len(sizes) == 4 and max(sizes.values()) < 150
+
+
+@pytest.mark.parametrize("snapshots", [["all"], ["s", "1:s", ":"]])
+def test_tasks_do_not_grow_with_stored_imports(spark, tmp_path, monkeypatch, snapshots):
+    """Stored imports are dealt by their size, once a join, not over the session's number of partitions alone."""
+    rows = [(s, f"f{k}" if k % 50 else None, f"f{k * 7 % 900}" if k % 3 else None) for s in snapshots for k in range(2400)] + [(snapshots[-1], "f1" + snapshots[0], "away")]
+    own = [(s, f"f{k}", f"{s}/m{k % 5}") for s in snapshots for k in range(800)] + [(snapshots[0], "f1" + snapshots[-1], "odd")]
+    spark.createDataFrame(rows, "s string, fromFile string, toFile string").coalesce(1).write.parquet(f"{tmp_path}/imports")
+    spark.createDataFrame(own, "s string, file string, module string").coalesce(1).write.parquet(f"{tmp_path}/owners")
+    name = F.lit("all") if len(snapshots) == 1 else F.col("s")
+    imports, owners = (spark.read.parquet(f"{tmp_path}/{t}").withColumn("snapshot_id", name).drop("s") for t in ("imports", "owners"))
+    public, known = owners.where("module LIKE '%m1'").select("snapshot_id", "module", "file"), {(s, f): m for s, f, m in own}
+    monkeypatch.setattr(E, "SHARE", 1000, raising=False)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        owned = E.owned_imports(imports, owners, public)
+        counts = E.edge_counts(owned.withColumn("resolution", F.lit("internal"))).collect()
+        found = owned.withColumn("task", F.spark_partition_id()).collect()
+        plan = owned._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(s, f or "", t or "", known.get((s, f)) or "", known.get((s, t)) or "", (known.get((s, t)) or "").endswith("m1")) for s, f, t in rows]
+    assert sorted((r["snapshot_id"], r["fromFile"] or "", r["toFile"] or "", r["fromModule"] or "", r["toModule"] or "", r["isPublicApi"]) for r in found) == sorted(want)
+    pairs = Counter((s, a, b) for s, _, t, a, b, _ in want if t and a and b and a != b)
+    assert {(r["snapshot_id"], r["from"], r["to"]): r["imports"] for r in counts} == pairs
+    sizes = Counter(r["task"] for r in found if r["fromFile"])
+    assert len(sizes) > 8 and max(sizes.values()) < len(rows) / 8
+    assert plan.count("REPARTITION_BY_NUM") == 4 and plan.count("SortMergeJoin") == 3 and plan.count("ENSURE_REQUIREMENTS") == 3
