@@ -290,3 +290,28 @@ def test_tasks_do_not_grow_with_stored_imports(spark, tmp_path, monkeypatch, sna
     sizes = Counter(r["task"] for r in found if r["fromFile"])
     assert len(sizes) > 8 and max(sizes.values()) < len(rows) / 8
     assert plan.count("REPARTITION_BY_NUM") == 4 and plan.count("SortMergeJoin") == 3 and plan.count("ENSURE_REQUIREMENTS") == 3
+
+
+def test_known_keys_do_not_gather_rows(spark, tmp_path, monkeypatch):
+    """Rows meet the list of known keys dealt by size where the list is too large to travel whole, and as they lie where it is not."""
+    rows = [(k, k * 11 % 700 if k % 40 else None) for k in range(3000)]
+    spark.createDataFrame(rows, "id int, key int").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    spark.createDataFrame([(k,) for k in [*range(500), 3, None]], "known int").coalesce(1).write.parquet(f"{tmp_path}/known")
+    monkeypatch.setattr(E, "SHARE", 1000)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for limit in ("-1", "10MB"):
+        for k, v in (conf | {"spark.sql.autoBroadcastJoinThreshold": limit}).items():
+            spark.conf.set(k, v)
+        try:
+            met = E.among(spark.read.parquet(f"{tmp_path}/rows"), "key", spark.read.parquet(f"{tmp_path}/known")).withColumn("task", F.spark_partition_id())
+            found, plan = met.collect(), met._jdf.queryExecution().executedPlan().toString()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert sorted((r["id"], r["key"]) for r in found) == [(a, b) for a, b in rows if b is not None and b < 500]
+        if limit == "-1":
+            sizes = Counter(r["task"] for r in found)
+            assert len(sizes) > 8 and max(sizes.values()) < len(rows) / 8 and plan.count("Exchange") == 2
+        else:
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -1,8 +1,11 @@
 """What travels: how often imports are read, which columns and rows reach a join, and what is sorted how often."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import edges as E
 from graphloom.operators import rules as R
 from graphloom.plans import queries, trade
 
@@ -30,6 +33,25 @@ def test_line_items_travel_by_order_and_target_only(spark):
     assert [x for x in (lines[k] for k in joins) if "fromFile" in x and "__key" not in x and "toFile" not in x and "o_orderkey" not in x] == [] and joins
 
 
+def test_line_items_and_orders_meet_known_files_by_size(spark, monkeypatch):
+    """Where suppliers or customers are too many to travel whole, no task's part of the line items or orders grows with them."""
+    want = sorted(map(tuple, queries.QUERIES["rule_falsy"](spark, DATA).collect()))
+    monkeypatch.setattr(E, "SHARE", 10_000)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = queries.QUERIES["rule_falsy"](spark, DATA)
+        dealt = dict(re.findall(r"hashpartitioning\((l_suppkey|o_custkey)#\d+L, (\d+)\)", found._jdf.queryExecution().executedPlan().toString()))
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(dealt) == 2 and int(dealt["l_suppkey"]) > 8 and int(dealt["o_custkey"]) > 4
+    assert got == want
+
+
 @pytest.mark.parametrize("zones", [None, queries.ZONES])
 def test_zones_read_imports_once(spark, zones):
     records = R.import_records(trade.owned(spark, DATA), trade.modules(spark, DATA), zones).select("id", "boundaryZone", "boundaryMessage")
